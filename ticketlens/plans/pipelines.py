@@ -1,10 +1,10 @@
 """End-to-end plans: load -> profile -> clean -> preprocess -> features.
 
-``delay_stages`` returns every intermediate of the delay pipeline.  The only
-materialised intermediate is the de-duplicated table inside ``clean_data``;
-everything after it is narrow projections plus small aggregates, so reports
-built on ``featured`` re-read that checkpoint instead of re-running the
-join and de-duplication shuffle.
+``delay_stages`` returns every intermediate of the delay pipeline.  Two
+intermediates are written to the checkpoint folder: the de-duplicated table
+inside ``clean_data`` (read by the fill, quantile and numbering jobs) and the
+featured table (read by every report and model stage), so no report replays
+the remark join, the de-duplication shuffle or the label-encoding joins.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlens import schema as S
 from ticketlens.operators.clean import clean_data, preprocess_data
 from ticketlens.plans.features import FeatureInfo, engineer_features
+from ticketlens.session import materialize
 from ticketlens.sources.tickets import tickets
 
 
@@ -36,7 +37,8 @@ def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0) -> DelaySta
     clean, stats = clean_data(raw)
     pre = preprocess_data(clean)
     featured, info = engineer_features(pre, True, S.TARGET, threshold_hours)
-    return DelayStages(raw, clean, stats, pre, featured, info)
+    # the featured table feeds every report and the model stages: write it once
+    return DelayStages(raw, clean, stats, pre, materialize(featured), info)
 
 
 def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:

@@ -345,3 +345,129 @@ SELECT avg(response_time_minutes) AS mean_response_time, CAST(sum(is_delayed) AS
 def _response_summary(spark, sf_dir):
     """Mean (capped) response time; delayed count and percent."""
     return R.response_summary(featured(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- statistics
+from ticketlens.operators import stats as ST  # noqa: E402
+from ticketlens.operators.clean import cap_outliers  # noqa: E402
+from ticketlens.plans import sql_twins as TW  # noqa: E402
+
+
+@register("resolution_histogram", rounded_sql(
+    with_stage("featured", TW.histogram_body(), TW.histogram_sql("resolution_time_hours")),
+    ["bin_start", "bin_end"]))
+def _resolution_histogram(spark, sf_dir):
+    """Histogram of resolution hours with numpy's automatic bin rule."""
+    return ST.histogram(featured(spark, sf_dir), "resolution_time_hours")
+
+
+@register("resolution_kde", rounded_sql(
+    with_stage("featured", TW.kde_body(), TW.kde_sql("resolution_time_hours")), ["x", "density"]))
+def _resolution_kde(spark, sf_dir):
+    """Gaussian KDE (Scott bandwidth) of resolution hours on a 200-point grid."""
+    return ST.kde(featured(spark, sf_dir), "resolution_time_hours")
+
+
+@register("feature_correlations", rounded_sql(
+    with_stage("featured", TW.correlation_body(), TW.correlation_sql()), ["correlation"]))
+def _feature_correlations(spark, sf_dir):
+    """Pairwise-complete Pearson correlation of every model feature."""
+    st = delay_stages(spark, sf_dir)
+    return ST.correlation_matrix(st.featured, st.info.feature_columns)
+
+
+_out_union = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, q1 - 1.5::DOUBLE * (q3 - q1) AS lower_bound, q3 + 1.5::DOUBLE * (q3 - q1) AS upper_bound, "
+    f"(SELECT count_if({c} < q1 - 1.5::DOUBLE * (q3 - q1) OR {c} > q3 + 1.5::DOUBLE * (q3 - q1)) FROM cleaned) AS outliers "
+    f"FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cleaned)"
+    for c in TW.CAP_COLS)
+
+
+@register("outlier_report", rounded_sql(with_stage("cleaned", _out_union), ["lower_bound", "upper_bound"]))
+def _outlier_report(spark, sf_dir):
+    """IQR bounds and outlier count per examined column."""
+    clean = delay_stages(spark, sf_dir).clean
+    _, _, bounds = cap_outliers(clean)
+    counts = clean.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c)
+                         for c, (lo, hi) in bounds.items()])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(lo).cast("double").alias("lower_bound"),
+                 F.lit(hi).cast("double").alias("upper_bound"), F.col(c).alias("outliers"))
+        for c, (lo, hi) in bounds.items()])).alias("s")).select("s.*")
+
+
+# ---------------------------------------------------------------- model data
+from ticketlens.ml import metrics as MT  # noqa: E402
+from ticketlens.ml.prep import random_split, stratified_split  # noqa: E402
+from ticketlens.sources.tickets import scored  # noqa: E402
+
+
+@register("train_test_split", with_stage("featured", """
+SELECT unique_id, is_delayed, CASE WHEN rn <= ceil(0.25::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT unique_id, is_delayed,
+    row_number() OVER (PARTITION BY is_delayed ORDER BY substr(md5(coalesce(unique_id, '') || '|42'), 1, 13), unique_id) AS rn,
+    count(*) OVER (PARTITION BY is_delayed) AS cnt FROM featured)"""))
+def _train_test_split(spark, sf_dir):
+    """M2: stratified 75/25 split by hash order, exact quota per class."""
+    return stratified_split(featured(spark, sf_dir), S.TARGET, 0.25, 42).select(S.UNIQUE_ID, S.TARGET, "split")
+
+
+@register("random_split", with_stage("cleaned", """
+SELECT unique_id, CASE WHEN rn <= ceil(0.2::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT unique_id,
+    row_number() OVER (ORDER BY substr(md5(coalesce(unique_id, '') || '|42'), 1, 13), unique_id) AS rn,
+    count(*) OVER () AS cnt FROM cleaned)"""))
+def _random_split(spark, sf_dir):
+    """M1: unstratified 80/20 split by hash order, exact size."""
+    return random_split(delay_stages(spark, sf_dir).clean, 0.2, 42).select(S.UNIQUE_ID, "split")
+
+
+def _ssql(body: str, doubles: list[str] = ()) -> str:
+    return rounded_sql(with_stage("scored", body, TW.PER_CLASS_SQL), list(doubles))
+
+
+@register("confusion_matrix", _ssql("SELECT label, prediction, count(*) AS count FROM scored GROUP BY ALL"))
+def _confusion(spark, sf_dir):
+    """Confusion counts of the deterministic scored table."""
+    return MT.confusion(scored(spark, sf_dir))
+
+
+@register("classification_metrics", _ssql("""
+SELECT sum(tp) / sum(support) AS accuracy, sum(precision * support) / sum(support) AS precision,
+  sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1,
+  (SELECT auc FROM auc) AS auc FROM pf""", ["accuracy", "precision", "recall", "f1", "auc"]))
+def _classification_metrics(spark, sf_dir):
+    """Accuracy, weighted precision / recall / F1 and AUC."""
+    return MT.classification_metrics(scored(spark, sf_dir))
+
+
+@register("classification_report", _ssql("""
+SELECT CAST(class AS VARCHAR) AS row, precision, recall, f1, CAST(support AS BIGINT) AS support FROM pf WHERE support > 0
+UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support),
+  CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'macro avg', avg(precision) FILTER (WHERE support > 0), avg(recall) FILTER (WHERE support > 0),
+  avg(f1) FILTER (WHERE support > 0), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pf""", ["precision", "recall", "f1"]))
+def _classification_report(spark, sf_dir):
+    """Per-class precision / recall / F1 / support and summary rows."""
+    return MT.classification_report(scored(spark, sf_dir))
+
+
+@register("roc_curve", _ssql("""
+SELECT threshold, fpr, tpr FROM (
+  SELECT score AS threshold, cum_neg / (SELECT sum(neg) FROM sc) AS fpr, cum_pos / (SELECT sum(pos) FROM sc) AS tpr,
+    score = (SELECT max(score) FROM sc) OR score = (SELECT min(score) FROM sc)
+      OR lead(pos) OVER (ORDER BY score DESC) <> pos OR lead(neg) OVER (ORDER BY score DESC) <> neg AS keep
+  FROM cum) WHERE keep
+UNION ALL SELECT (SELECT max(score) FROM sc) + 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
+    ["threshold", "fpr", "tpr"]))
+def _roc_curve(spark, sf_dir):
+    """ROC points with collinear points dropped, plus the origin."""
+    return MT.roc_curve(scored(spark, sf_dir))
+
+
+@register("roc_auc", _ssql("SELECT auc FROM auc", ["auc"]))
+def _roc_auc(spark, sf_dir):
+    """Exact ROC AUC with ties."""
+    return MT.roc_auc(scored(spark, sf_dir))

@@ -143,3 +143,89 @@ STAGES = {
 def with_stage(stage: str, body: str, extra: str = "") -> str:
     ctes = ",".join(STAGES[stage]) + (("," + extra) if extra else "")
     return f"WITH {ctes}\n{body}"
+
+_PART_SUFFIXES = ["hour", "day", "day_of_week", "month", "is_weekend", "is_business_hours"]
+NUMERIC_FEATURES = (CAP_COLS + [f"{c}_{p}" for c in S.DATETIME_COLS for p in _PART_SUFFIXES]
+                    + ["ticket_age_days", "resolution_time_hours", "issue_complexity", "remarks_length",
+                       "has_urgent_keywords"])
+CORR_FEATURES = NUMERIC_FEATURES + [f"{c}_encoded" for c in ENCODED_COLS]
+
+
+def histogram_sql(col: str, src: str = "featured") -> str:
+    one, half, two = "1.0::DOUBLE", "0.5::DOUBLE", "2.0::DOUBLE"
+    return f"""
+hs AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi,
+         quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM {src}),
+hp AS (SELECT n, CASE WHEN lo = hi THEN lo - {half} ELSE lo END AS f, CASE WHEN lo = hi THEN hi + {half} ELSE hi END AS l,
+         (hi - lo) / (log2(n) + {one}) AS sturges, {two} * (q3 - q1) * pow(n, -{one} / 3.0::DOUBLE) AS fd FROM hs),
+hb AS (SELECT f, l, greatest(CAST(ceil((l - f) / CASE WHEN fd <> 0 THEN least(fd, sturges) ELSE sturges END) AS BIGINT), 1) AS nb
+       FROM hp),
+hc AS (SELECT CAST(least(nb - 1, floor(({col} - f) * (nb / (l - f)))) AS INTEGER) AS bin, count(*) AS cnt
+       FROM {src}, hb WHERE {col} IS NOT NULL GROUP BY 1)"""
+
+
+def histogram_body() -> str:
+    return """
+SELECT CAST(g.i AS INTEGER) AS bin, f + g.i * ((l - f) / nb) AS bin_start, f + (g.i + 1) * ((l - f) / nb) AS bin_end,
+       CAST(coalesce(hc.cnt, 0) AS BIGINT) AS count
+FROM (SELECT unnest(range(nb)) AS i, f, l, nb FROM hb) g LEFT JOIN hc ON hc.bin = g.i"""
+
+
+def kde_sql(col: str, src: str = "featured", grid: int = 200, bins: int = 4096, cut: float = 3.0) -> str:
+    return f"""
+ks AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {src}),
+kp AS (SELECT n, lo, hi, sd * pow(n, -0.2::DOUBLE) AS bw FROM ks),
+kg AS (SELECT *, lo - {cut}::DOUBLE * bw AS g0, hi + {cut}::DOUBLE * bw AS g1,
+         CASE WHEN hi > lo THEN (hi - lo) / {bins}.0::DOUBLE ELSE 1.0::DOUBLE END AS bin_w FROM kp),
+kq AS (SELECT *, (g1 - g0) / {grid - 1}.0::DOUBLE AS step FROM kg),
+kb AS (SELECT CAST(least({bins - 1}, floor(({col} - lo) / bin_w)) AS BIGINT) AS b, count(*) AS c
+       FROM {src}, kg WHERE {col} IS NOT NULL GROUP BY 1)"""
+
+
+def kde_body(grid: int = 200) -> str:
+    return f"""
+SELECT CAST(p AS INTEGER) AS point, any_value(g0 + p * step) AS x,
+  sum(c * exp(-0.5::DOUBLE * pow((g0 + p * step - (lo + (b + 0.5::DOUBLE) * bin_w)) / bw, 2)))
+    * any_value(1.0::DOUBLE / (n * bw * sqrt(2 * pi()))) AS density
+FROM kb, kq, (SELECT unnest(range({grid})) AS p) pts
+GROUP BY p"""
+
+
+def correlation_sql(cols: list[str] = None, src: str = "featured") -> str:
+    cols = cols or CORR_FEATURES
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    aggs = ",\n  ".join(
+        f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) * "
+        f"stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL), 0) AS \"{a}@{b}\"" for a, b in pairs)
+    return f"""
+corr_wide AS MATERIALIZED (SELECT {aggs} FROM {src}),
+corr_long AS (
+  SELECT split_part(k, '@', 1) AS feature_x, split_part(k, '@', 2) AS feature_y, v AS correlation
+  FROM corr_wide UNPIVOT INCLUDE NULLS (v FOR k IN (COLUMNS(*)))
+)"""
+
+
+def correlation_body() -> str:
+    return """
+SELECT feature_x, feature_y, correlation FROM corr_long
+UNION ALL
+SELECT feature_y, feature_x, correlation FROM corr_long WHERE feature_x <> feature_y"""
+
+
+PER_CLASS_SQL = """
+pc AS (
+  SELECT c AS class, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted
+  FROM (SELECT label AS c, count(*) AS support, count_if(label = prediction) AS tp FROM scored GROUP BY 1) t
+  FULL OUTER JOIN (SELECT prediction AS c, count(*) AS predicted FROM scored GROUP BY 1) p USING (c)
+),
+pm AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0::DOUBLE END AS precision,
+                 CASE WHEN support > 0 THEN tp / support ELSE 0.0::DOUBLE END AS recall FROM pc),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                      ELSE 0.0::DOUBLE END AS f1 FROM pm),
+sc AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored
+       WHERE score IS NOT NULL GROUP BY score),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos,
+                  sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg
+        FROM sc),
+auc AS (SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                    THEN sum(neg * (cum_pos - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) END AS auc FROM cum)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -54,15 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
 
-    Used after the few wide steps whose output several later jobs read (the
-    de-duplicated ticket table, range-partitioned prefix inputs), so those
-    jobs neither repeat the shuffle nor depend on a lost executor's blocks.
+    Cuts the lineage like ``checkpoint()`` (a lost executor only loses blocks
+    that are already on shared storage) but keeps the data columnar, so later
+    passes that touch a few columns prune the rest and push filters down.
+    Used after the few wide steps whose output several later jobs read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
