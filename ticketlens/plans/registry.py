@@ -471,3 +471,51 @@ def _roc_curve(spark, sf_dir):
 def _roc_auc(spark, sf_dir):
     """Exact ROC AUC with ties."""
     return MT.roc_auc(scored(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- models (no SQL twin: fitted models)
+from ticketlens.ml.compare import melt  # noqa: E402
+from ticketlens.ml.train import feature_importance  # noqa: E402
+from ticketlens.plans import models as MD  # noqa: E402
+
+_MODEL_CACHE: dict[tuple, tuple] = {}
+
+
+def _delay_models(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODEL_CACHE:
+        st = delay_stages(spark, sf_dir)
+        data = MD.prepare_training_data(st.featured, st.info)
+        _MODEL_CACHE[key] = (data, *MD.run_delay_models(data))
+    return _MODEL_CACHE[key]
+
+
+@register("delay_model_comparison")
+def _delay_model_comparison(spark, sf_dir):
+    """LR / RF / boosted trees on the delay target, compared."""
+    _, _, table, _ = _delay_models(spark, sf_dir)
+    return table
+
+
+@register("delay_model_comparison_long")
+def _delay_model_comparison_long(spark, sf_dir):
+    """The comparison table in long form (Model, Metric, Score)."""
+    _, _, table, _ = _delay_models(spark, sf_dir)
+    return melt(table)
+
+
+@register("delay_feature_importance")
+def _delay_feature_importance(spark, sf_dir):
+    """Top-15 features of the random forest."""
+    data, _, _, results = _delay_models(spark, sf_dir)
+    return feature_importance(results["random_forest"].model, data.feature_names, 15, spark)
+
+
+@register("csat_model_ranking")
+def _csat_model_ranking(spark, sf_dir):
+    """Multiclass satisfaction models ranked by accuracy."""
+    train, test = MD.csat_training_data(delay_stages(spark, sf_dir).clean)
+    ranked, verdict, _ = MD.run_csat_models(train, test)
+    v = verdict.first()
+    return ranked.withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),
+                               "small_gap": F.lit(v["small_gap"])})
