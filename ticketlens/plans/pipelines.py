@@ -45,7 +45,9 @@ def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
     """Stages for the derived ticket table of ``sf_dir`` (memoised per session)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = delay_stages_from(tickets(spark, sf_dir))
+        # the loaded table is written once (as the reference loads its CSV once):
+        # profiling, de-duplication and the raw-row queries all read it
+        _CACHE[key] = delay_stages_from(materialize(tickets(spark, sf_dir), "tickets"))
     return _CACHE[key]
 
 

@@ -54,6 +54,10 @@ def featured(spark, sf_dir):
     return delay_stages(spark, sf_dir).featured
 
 
+def raw(spark, sf_dir):
+    return delay_stages(spark, sf_dir).raw
+
+
 # ---------------------------------------------------------------- sources
 RAW_DOUBLES = ["item_price", "connected_handling_time"]
 
@@ -79,7 +83,7 @@ _nulls_union = " UNION ALL ".join(
     "tickets", f"SELECT * FROM ({_nulls_union}) WHERE missing_values > 0"), ["percentage"]))
 def _quality_nulls(spark, sf_dir):
     """Q1: missing count and percent per column, columns with nulls only."""
-    return Q.missing_report(tickets(spark, sf_dir))
+    return Q.missing_report(raw(spark, sf_dir))
 
 
 @register("quality_duplicates", rounded_sql(with_stage("tickets", """
@@ -88,7 +92,7 @@ FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM ticket
     ["duplicate_percent"]))
 def _quality_duplicates(spark, sf_dir):
     """Q2: rows beyond the first copy of each full-row duplicate."""
-    return Q.duplicate_report(tickets(spark, sf_dir))
+    return Q.duplicate_report(raw(spark, sf_dir))
 
 
 _DESC_COLS = ["item_price", "connected_handling_time", "csat_score"]
@@ -102,7 +106,7 @@ _desc_union = " UNION ALL ".join(
                                           ["mean", "std", "min", "p25", "p50", "p75", "max"]))
 def _quality_describe(spark, sf_dir):
     """Q3: count, mean, sample std, min, quartiles, max of numeric columns."""
-    return Q.describe(tickets(spark, sf_dir))
+    return Q.describe(raw(spark, sf_dir))
 
 
 _TOP5_COLS = ["unique_id", "channel_name", "category", "sub_category", "customer_remarks"]
@@ -117,7 +121,7 @@ SELECT column_name, value, count, CAST(rank AS INTEGER) AS rank FROM (
   FROM ({_top5_union})) WHERE rank <= 5"""))
 def _quality_top_values(spark, sf_dir):
     """Q4: top-5 value counts of the first five text columns."""
-    return Q.top_values_report(tickets(spark, sf_dir))
+    return Q.top_values_report(raw(spark, sf_dir))
 
 
 @register("quality_summary", rounded_sql(with_stage("tickets", f"""
@@ -128,14 +132,14 @@ SELECT count(*) AS total_rows, {len(_RAW_COLS)} AS total_columns,
 FROM tickets"""), ["duplicate_percent"]))
 def _quality_summary(spark, sf_dir):
     """Q5/Q6/Q7: rows, columns, duplicates and total missing cells (one row)."""
-    return Q.quality_summary(tickets(spark, sf_dir))
+    return Q.quality_summary(raw(spark, sf_dir))
 
 
 @register("tickets_head", rounded_sql(with_stage(
     "tickets", "SELECT * FROM tickets ORDER BY unique_id, customer_remarks LIMIT 5"), RAW_DOUBLES))
 def _tickets_head(spark, sf_dir):
     """Q6: first rows (by ticket id) -- a top-k by design."""
-    return Q.head(tickets(spark, sf_dir), 5)
+    return Q.head(raw(spark, sf_dir), 5)
 
 
 @register("target_distribution", rounded_sql(with_stage("featured", """

@@ -19,6 +19,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """
     builder = (SparkSession.builder.appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -58,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a parquet table under the checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` (a lost executor only loses blocks
@@ -67,7 +68,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Used after the few wide steps whose output several later jobs read.
     """
     path = scratch_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    (df.repartition(partitions) if partitions else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -75,3 +76,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+ROWS_PER_TRAINING_TASK = 5_000
+
+
+def training_partitions(df: DataFrame) -> int:
+    """Partitions for an iteratively scanned training table.
+
+    Iterative learners pay a task launch per partition per iteration, so the
+    table gets one partition per ``ROWS_PER_TRAINING_TASK`` rows, at most one
+    per core of the cluster (more would only queue).
+    """
+    import math
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, math.ceil(n / ROWS_PER_TRAINING_TASK)))
