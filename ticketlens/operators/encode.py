@@ -5,19 +5,21 @@ Code = position of the value among the column's sorted distinct values
 value is encoded as the text ``nan``.
 
 Plan: the columns are unpivoted to (column, value) and de-duplicated with a
-partial aggregate (hot values collapse map-side), ranked per column, and
-joined back.  The dictionary grows with the number of distinct values, not
+partial aggregate (hot values collapse map-side), numbered per column with
+range-partitioned prefix offsets (``numbering.dense_codes``: a column with
+very many distinct values is spread over several tasks), and joined back.  The dictionary grows with the number of distinct values, not
 rows; each column's dictionary is broadcast only when its row count is under
 ``broadcast_limit``, otherwise the join is a regular shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens import schema as S
 from ticketlens.functions import as_text
+from ticketlens.operators.numbering import dense_codes
 
 BROADCAST_LIMIT = 1_000_000
 
@@ -32,8 +34,7 @@ def label_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), as_text(c).alias("value")) for c in cols
     ])).alias("kv")).select("kv.column_name", "kv.value").distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    return long.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    return dense_codes(long, "column_name", "value", "code")
 
 
 def encode_categorical_features(df: DataFrame, target_col: str | None = None,
@@ -47,7 +48,7 @@ def encode_categorical_features(df: DataFrame, target_col: str | None = None,
     nums = [c for c in S.numeric_columns(df) if c != target_col and not c.endswith("_encoded")]
     if not cats:
         return df, cats, nums, None
-    dictionary = label_dictionary(df, cats).cache()
+    dictionary = label_dictionary(df, cats)          # written once by dense_codes
     sizes = {r["column_name"]: r["n"] for r in dictionary.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cats:

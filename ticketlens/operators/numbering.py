@@ -79,3 +79,31 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], *, descen
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w)).drop(f"_off_{c}")
     return out
+
+
+def dense_codes(df: DataFrame, group_col: str, value_col: str, out_col: str = "code",
+                partitions: int | None = None) -> DataFrame:
+    """Code = position of ``value`` among the distinct values of its group, from 0.
+
+    ``df`` must hold distinct (group, value) rows.  Rows are range-partitioned
+    on (group, value) and written once, so a group with very many distinct
+    values spreads over several tasks; per (range, group) counts give the
+    offsets, and a window partitioned by (range, group) numbers each slice.
+    """
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n_parts, group_col, value_col)
+                         .withColumn("_range", F.spark_partition_id()), "codes")
+    counts = sorted((r["_range"], r[group_col], r["n"]) for r in
+                    ranged.groupBy("_range", group_col).agg(F.count(F.lit(1)).alias("n")).collect())
+    seen: dict = {}
+    offs = []
+    for rng, grp, n in counts:                 # one row per (range, group): bounded
+        offs.append((rng, grp, seen.get(grp, 0)))
+        seen[grp] = seen.get(grp, 0) + n
+    gtype = df.schema[group_col].dataType.simpleString()
+    off_df = spark.createDataFrame(offs, f"_range int, {group_col} {gtype}, _off long")
+    w = Window.partitionBy("_range", group_col).orderBy(value_col)
+    return (ranged.join(F.broadcast(off_df), ["_range", group_col])
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("int"))
+            .drop("_range", "_off"))
