@@ -78,7 +78,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-ROWS_PER_TRAINING_TASK = 5_000
+ROWS_PER_TRAINING_TASK = 1_000
 
 
 def training_partitions(df: DataFrame) -> int:
