@@ -67,8 +67,12 @@ def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_I
     return numbered.withColumn(col, filled).drop("_gen").select(*df.columns)
 
 
-def clean_data(df: DataFrame, formats: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
-    """The composite cleaning step; returns the cleaned frame and stats."""
+def clean_data(df: DataFrame, formats: dict[str, str] | None = None, dedup: bool = True
+               ) -> tuple[DataFrame, dict]:
+    """The composite cleaning step; returns the cleaned frame and stats.
+
+    ``dedup=False`` is the satisfaction pipeline's variant (no C3).
+    """
     stats: dict = {}
     df = convert_datetimes(df, formats=formats)
     df = add_response_time(df)
@@ -80,7 +84,7 @@ def clean_data(df: DataFrame, formats: dict[str, str] | None = None) -> tuple[Da
     if "response_time_minutes" in df.columns:
         stats["mean_response_time"] = first["rt"]
 
-    deduped = materialize(df.dropDuplicates())
+    deduped = materialize(df.dropDuplicates() if dedup else df, "deduped")
     nulls_and_rows = deduped.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(deduped.columns)],

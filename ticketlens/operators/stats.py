@@ -72,6 +72,44 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
+def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A21 (numeric part): (column_name, bin, bin_start, bin_end, count) for several
+    columns, each with its own automatic bins, counted in one aggregate.
+
+    Bin rules need count / min / max (one aggregate for all columns) and the
+    quartiles (shared refinement passes); the counting pass unpivots
+    (column, bin) pairs and groups them, so the result has at most
+    sum(n_bins) rows whatever the row count.
+    """
+    spark = df.sparkSession
+    xs = {c: F.col(c).cast("double") for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        ok = xs[c].isNotNull() & ~F.isnan(xs[c])
+        aggs += [F.count(F.when(ok, xs[c])).alias(f"n{i}"), F.min(F.when(ok, xs[c])).alias(f"lo{i}"),
+                 F.max(F.when(ok, xs[c])).alias(f"hi{i}")]
+    m = df.agg(*aggs).first()
+    live = [(i, c) for i, c in enumerate(cols) if m[f"n{i}"]]
+    q = exact_quantiles(df, [c for _, c in live], [0.25, 0.75])
+    specs = {c: auto_bins(m[f"n{i}"], m[f"lo{i}"], m[f"hi{i}"], *q[c]) for i, c in live}
+    if not specs:
+        return spark.createDataFrame([], "column_name string, bin int, bin_start double, bin_end double, count long")
+    pairs = []
+    for c, (first, last, bins) in specs.items():
+        idx = F.least(F.lit(bins - 1), F.floor((xs[c] - F.lit(first)) * F.lit(bins / (last - first)))).cast("int")
+        pairs.append(F.when(xs[c].isNotNull() & ~F.isnan(xs[c]),
+                            F.struct(F.lit(c).alias("column_name"), idx.alias("bin"))))
+    counts = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("p"))
+              .groupBy("p.column_name", "p.bin").agg(F.count(F.lit(1)).alias("count")))
+    # every bin of every column (bounded by the bin rules) so empty bins show 0
+    grid = spark.createDataFrame(
+        [(c, b, first + b * ((last - first) / bins), first + (b + 1) * ((last - first) / bins))
+         for c, (first, last, bins) in specs.items() for b in range(bins)],
+        "column_name string, bin int, bin_start double, bin_end double")
+    return (grid.join(counts, ["column_name", "bin"], "left")
+            .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
+
+
 def kde(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = KDE_CUT,
         bins: int = KDE_BINS) -> DataFrame:
     """(point, x, density) of a Gaussian KDE with Scott's bandwidth.

@@ -353,7 +353,7 @@ def _response_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- statistics
 from ticketlens.operators import stats as ST  # noqa: E402
-from ticketlens.operators.clean import cap_outliers  # noqa: E402
+from ticketlens.operators.clean import cap_outliers, clean_data  # noqa: E402
 from ticketlens.plans import sql_twins as TW  # noqa: E402
 
 
@@ -365,6 +365,17 @@ def _resolution_histogram(spark, sf_dir):
     return ST.histogram(featured(spark, sf_dir), "resolution_time_hours")
 
 
+_HIST_CTES, _HIST_BODY = TW.histograms_sql(TW.NUMERIC_FEATURES[:5])
+
+
+@register("distribution_histograms", rounded_sql(with_stage("featured", _HIST_BODY, _HIST_CTES),
+                                                 ["bin_start", "bin_end"]))
+def _distribution_histograms(spark, sf_dir):
+    """A21 (numeric part): automatic-bin histograms of the first five numeric features."""
+    st = delay_stages(spark, sf_dir)
+    return ST.histograms(st.featured, st.info.numerical_columns[:5])
+
+
 @register("resolution_kde", rounded_sql(
     with_stage("featured", TW.kde_body(), TW.kde_sql("resolution_time_hours")), ["x", "density"]))
 def _resolution_kde(spark, sf_dir):
@@ -518,7 +529,8 @@ def _delay_feature_importance(spark, sf_dir):
 @register("csat_model_ranking")
 def _csat_model_ranking(spark, sf_dir):
     """Multiclass satisfaction models ranked by accuracy."""
-    train, test = MD.csat_training_data(delay_stages(spark, sf_dir).clean)
+    clean, _ = clean_data(raw(spark, sf_dir), dedup=False)       # pipeline B has no de-duplication
+    train, test = MD.csat_training_data(clean)
     ranked, verdict, _ = MD.run_csat_models(train, test)
     v = verdict.first()
     return ranked.withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),

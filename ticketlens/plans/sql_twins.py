@@ -151,24 +151,34 @@ NUMERIC_FEATURES = (CAP_COLS + [f"{c}_{p}" for c in S.DATETIME_COLS for p in _PA
 CORR_FEATURES = NUMERIC_FEATURES + [f"{c}_encoded" for c in ENCODED_COLS]
 
 
-def histogram_sql(col: str, src: str = "featured") -> str:
+def histogram_sql(col: str, src: str = "featured", p: str = "h") -> str:
+    """CTEs {p}s, {p}p, {p}b, {p}c: numpy 'auto' bins and counts of one column."""
     one, half, two = "1.0::DOUBLE", "0.5::DOUBLE", "2.0::DOUBLE"
     return f"""
-hs AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi,
+{p}s AS (SELECT count({col}) AS n, CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi,
          quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM {src}),
-hp AS (SELECT n, CASE WHEN lo = hi THEN lo - {half} ELSE lo END AS f, CASE WHEN lo = hi THEN hi + {half} ELSE hi END AS l,
-         (hi - lo) / (log2(n) + {one}) AS sturges, {two} * (q3 - q1) * pow(n, -{one} / 3.0::DOUBLE) AS fd FROM hs),
-hb AS (SELECT f, l, greatest(CAST(ceil((l - f) / CASE WHEN fd <> 0 THEN least(fd, sturges) ELSE sturges END) AS BIGINT), 1) AS nb
-       FROM hp),
-hc AS (SELECT CAST(least(nb - 1, floor(({col} - f) * (nb / (l - f)))) AS INTEGER) AS bin, count(*) AS cnt
-       FROM {src}, hb WHERE {col} IS NOT NULL GROUP BY 1)"""
+{p}p AS (SELECT n, CASE WHEN lo = hi THEN lo - {half} ELSE lo END AS f, CASE WHEN lo = hi THEN hi + {half} ELSE hi END AS l,
+         (hi - lo) / (log2(n) + {one}) AS sturges, {two} * (q3 - q1) * pow(n, -{one} / 3.0::DOUBLE) AS fd FROM {p}s),
+{p}w AS (SELECT *, CASE WHEN fd <> 0 THEN least(fd, sturges) ELSE sturges END AS width FROM {p}p),
+{p}b AS (SELECT f, l, CASE WHEN width = 0 THEN 1 ELSE greatest(CAST(ceil((l - f) / width) AS BIGINT), 1) END AS nb
+       FROM {p}w),
+{p}c AS (SELECT CAST(least(nb - 1, floor((CAST({col} AS DOUBLE) - f) * (nb / (l - f)))) AS INTEGER) AS bin,
+         count(*) AS cnt FROM {src}, {p}b WHERE {col} IS NOT NULL GROUP BY 1)"""
 
 
-def histogram_body() -> str:
-    return """
-SELECT CAST(g.i AS INTEGER) AS bin, f + g.i * ((l - f) / nb) AS bin_start, f + (g.i + 1) * ((l - f) / nb) AS bin_end,
-       CAST(coalesce(hc.cnt, 0) AS BIGINT) AS count
-FROM (SELECT unnest(range(nb)) AS i, f, l, nb FROM hb) g LEFT JOIN hc ON hc.bin = g.i"""
+def histogram_body(p: str = "h", column: str | None = None) -> str:
+    name = f"'{column}' AS column_name, " if column else ""
+    return f"""
+SELECT {name}CAST(g.i AS INTEGER) AS bin, f + g.i * ((l - f) / nb) AS bin_start,
+       f + (g.i + 1) * ((l - f) / nb) AS bin_end, CAST(coalesce({p}c.cnt, 0) AS BIGINT) AS count
+FROM (SELECT unnest(range(nb)) AS i, f, l, nb FROM {p}b) g LEFT JOIN {p}c ON {p}c.bin = g.i"""
+
+
+def histograms_sql(cols: list[str], src: str = "featured") -> tuple[str, str]:
+    """(extra CTEs, body) for several columns' histograms, stacked."""
+    ctes = ",".join(histogram_sql(c, src, f"h{i}_") for i, c in enumerate(cols))
+    body = "\nUNION ALL".join(histogram_body(f"h{i}_", c) for i, c in enumerate(cols))
+    return ctes, body
 
 
 def kde_sql(col: str, src: str = "featured", grid: int = 200, bins: int = 4096, cut: float = 3.0) -> str:
