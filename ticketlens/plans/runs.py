@@ -97,9 +97,10 @@ def run_delay_pipeline(spark: SparkSession, raw: DataFrame, output_dir: str | No
             "models": results}
 
 
-def run_csat_pipeline(spark: SparkSession, raw: DataFrame, kinds=MD.KINDS) -> dict:
+def run_csat_pipeline(spark: SparkSession, raw: DataFrame, kinds=MD.KINDS,
+                      include_issue_hour: bool = True) -> dict:
     """Clean without de-duplication, satisfaction features, multiclass models, ranking."""
     clean, stats = clean_data(materialize(raw, "tickets"), dedup=False)
-    train, test = MD.csat_training_data(clean)
+    train, test = MD.csat_training_data(clean, include_issue_hour=include_issue_hour)
     ranked, verdict, results = MD.run_csat_models(train, test, kinds)
     return {"clean_stats": stats, "ranking": ranked, "verdict": verdict, "models": results}
