@@ -13,3 +13,24 @@ def test_running_totals_any_partitioning(spark):
         out = running_totals(df.repartition(parts), "k", ["w"], descending=True, partitions=parts)
         got = [r.cum_w for r in out.orderBy(F.col("k").desc()).collect()]
         assert got == list(want)
+
+
+def test_number_rows_hot_key_split_matches_fast_path(spark):
+    from ticketlens.operators.numbering import number_rows
+    # a third of the rows share one key (and are identical copies); the rest are unique
+    rows = [("hot", None)] * 1500 + [(f"k{i}", None if i % 2 else "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, oid string").repartition(7)
+    cond = F.col("oid").isNull()
+    fast = number_rows(df, cond, "key", "n")
+    split = number_rows(df, cond, "key", "n", hot_slice_rows=100)
+    m = df.where(cond).count()
+    for out in (fast, split):
+        got = sorted(r.n for r in out.where(F.col("n").isNotNull()).collect())
+        assert got == list(range(m))
+        assert out.where(F.col("n").isNull()).count() == df.count() - m
+    # unique keys get the same number on both paths; the hot key gets the same set
+    a = {r.key: r.n for r in fast.where((F.col("key") != "hot") & F.col("n").isNotNull()).collect()}
+    b = {r.key: r.n for r in split.where((F.col("key") != "hot") & F.col("n").isNotNull()).collect()}
+    assert a == b
+    hot = lambda o: sorted(r.n for r in o.where(F.col("key") == "hot").collect())
+    assert hot(fast) == hot(split)
