@@ -9,7 +9,7 @@ table for metric tests that need no fitted model.
 Each builder has a DuckDB twin (``TICKETS_SQL`` / ``SCORED_SQL``) so oracle
 queries can start from the same rows.  Everything here is narrow except the
 remark join, which Spark plans as a shuffle (or broadcast, when AQE sees a
-small ``documents``) on ``doc_id``; rows without a remark key skip it.
+small ``documents``) on ``doc_id``, salted so rows without a remark key spread out.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ TENURE_BUCKETS = ["0-30", "31-60", "61-90", ">90", "On Job Training"]
 AGENT_SHIFTS = ["Morning", "Evening", "Afternoon", "Night", "Split"]
 RARE_SHIFT = "Graveyard"          # given to event_id 100..104 only (5 rows < 10)
 RARE_SHIFT_IDS = (100, 104)
+NULL_KEY_SALTS = 1024
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -49,12 +50,15 @@ def build_tickets(events: DataFrame, documents: DataFrame) -> DataFrame:
     ev = events.select(
         "event_id", "user_id", "event_type", "value", ts.alias("ts"), k.alias("k"),
         F.when(n % 3 != 0, F.pmod(n, n_docs)).alias("doc_key"))
-    docs = documents.select(F.col("doc_id").alias("doc_key"), F.col("text").alias("remark_text"))
-    # a third of the events carry no remark (NULL key): they bypass the join, so
-    # a shuffle join never hashes that third of all rows into one task
-    has_doc = F.col("doc_key").isNotNull()
-    joined = (ev.where(has_doc).join(docs, "doc_key", "left")
-              .unionByName(ev.where(~has_doc).withColumn("remark_text", F.lit(None).cast("string"))))
+    # a third of the events carry no remark (NULL key).  A salt joins the key:
+    # 0 on both sides for keyed rows (same matches), spread over NULL_KEY_SALTS
+    # values for NULL-key rows, which never match but no longer hash into one
+    # task of a shuffle join.  One scan of ``events``.
+    ev = ev.withColumn("_salt", F.when(F.col("doc_key").isNull(), F.pmod(n, F.lit(NULL_KEY_SALTS)))
+                       .otherwise(F.lit(0)))
+    docs = documents.select(F.col("doc_id").alias("doc_key"), F.lit(0).alias("_salt"),
+                            F.col("text").alias("remark_text"))
+    joined = ev.join(docs, ["doc_key", "_salt"], "left")
 
     category = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in CATEGORY_BY_EVENT.items() for x in kv]),
