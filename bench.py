@@ -25,7 +25,7 @@ from ticketlens.session import get_spark  # noqa: E402
 
 LARGE = {"tickets_raw", "clean_tickets", "preprocessed_tickets", "featured_tickets", "csat_features",
          "train_test_split", "random_split"}
-SKIP_DEFAULT = {"csat_model_ranking"}     # multiclass boosting: minutes even at small scale; opt in
+SKIP_DEFAULT = {"csat_model_ranking"}     # unlimited-depth forests on noise labels: minutes; opt in
 
 
 def run(df, name):
