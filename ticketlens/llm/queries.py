@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, mixing, url_reputation, warc
+from ticketlens.llm import chat, license_scan, line_dedup, mixing, quality, url_reputation, warc
 from ticketlens.llm.common import Scratch
 from ticketlens.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -32,12 +32,27 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand_chat(turns.unionByName(extra)))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with later copies of repeated line runs cut out of its text."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     warc.write_archive(warc.records(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0), path)
     return warc.read_resolved(spark, path).drop("uri", "record_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: the page's row in ``labels`` (same id); good = quality 1 and not toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -49,4 +64,6 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_chat_formatting": op2_chat_formatting,
-           "op5_warc_revisits": op5_warc_revisits, "op7_url_filter": op7_url_filter}
+           "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup,
+           "op5_warc_revisits": op5_warc_revisits, "op6_license_scan": op6_license_scan,
+           "op7_url_filter": op7_url_filter}
