@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import chat, license_scan, line_dedup, mixing, quality, url_reputation, warc
+from ticketlens.llm import (chat, decontaminate, lattice_lm, license_scan, line_dedup, mixing, quality, simhash,
+                            url_reputation, warc)
 from ticketlens.llm.common import Scratch
 from ticketlens.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -63,7 +64,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, outcomes, URL_RULES).drop("url")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_chat_formatting": op2_chat_formatting,
-           "op3_quality_rules": op3_quality_rules, "op4_line_dedup": op4_line_dedup,
-           "op5_warc_revisits": op5_warc_revisits, "op6_license_scan": op6_license_scan,
-           "op7_url_filter": op7_url_filter}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=3)
+    return rows.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       table(spark, sf_dir, "benchmark"))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_chat_formatting": op2_chat_formatting, "op3_quality_rules": op3_quality_rules,
+           "op4_line_dedup": op4_line_dedup, "op5_warc_revisits": op5_warc_revisits, "op6_license_scan": op6_license_scan,
+           "op7_url_filter": op7_url_filter, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination,
+           "op10_lattice_lm": op10_lattice_lm}
