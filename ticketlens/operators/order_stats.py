@@ -3,52 +3,61 @@
 ``percentile``/``median`` in Spark keep a value->count map per group; for a
 global aggregate that map is merged in a single task and grows with the
 number of distinct values.  Here an exact k-th smallest value is found by
-range refinement instead:
+refining a window by count:
 
 1. one aggregate gives count, min and max of every column;
-2. each pass splits the current [lo, hi] window of every open target into
-   ``buckets`` equal-width ranges and aggregates (count, min, max) per
-   (target, bucket) -- a partial/final aggregate whose result is at most
-   targets x buckets rows, independent of the row count;
-3. the bucket that holds the wanted rank becomes the new window; a window
-   whose min equals its max is the answer (this is how a value that holds a
-   third of all rows resolves in one pass);
-4. once a window holds at most ``final_rows`` values they are fetched in
-   order (bounded) and the rank is read off.
-
-Quantiles use linear interpolation between the two neighbouring ranks
-(pandas / numpy "linear", DuckDB ``quantile_cont``), over non-null values.
+2. each round asks a bounded sketch (``percentile_approx`` over the window) for
+   values just below and above the wanted rank, and counts exactly how many
+   values lie below, on, between and above these splitters; the range that
+   holds the rank becomes the new window, some thousand times smaller whatever
+   the spread of the values;
+3. should a window not shrink by half, its middle value (among the numbers that
+   the type can hold) joins the splitters, so 64 further rounds always suffice;
+4. a window whose min equals its max, or a splitter that holds the rank, is the
+   answer (a value with a third of all rows resolves in one round);
+5. a window of at most ``final_rows`` values is fetched and the rank read off.
+
+Whole numbers are compared as BIGINT, so ranks are exact beyond 2**53; all other
+types as DOUBLE with NaN left out, infinities ordered as such.  Quantiles use
+linear interpolation between the two neighbouring ranks (pandas / numpy
+"linear", DuckDB ``quantile_cont``), over non-null values.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKETS = 1024
 FINAL_ROWS = 4096
-MAX_PASSES = 16
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 2.0 / SKETCH_ACCURACY
 
 
 @dataclass
 class _Target:
     col: str
     rank: int          # 0-based rank among the column's non-null values
-    lo: float
-    hi: float
+    lo: float | int
+    hi: float | int
     below: int         # values strictly before the window
     count: int         # values inside the window
-    value: float | None = None
+    value: float | int | None = None
+    slow: bool = False
 
     @property
     def done(self) -> bool:
         return self.value is not None
 
 
-def _valid(col: str):
+def _valid(df: DataFrame, col: str):
+    if isinstance(df.schema[col].dataType, T.IntegralType):
+        c = F.col(col).cast("long")
+        return c, c.isNotNull()
     c = F.col(col).cast("double")
     return c, c.isNotNull() & ~F.isnan(c)
 
@@ -57,22 +66,34 @@ def column_ranges(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float
     """(non-null count, min, max) per column in one aggregate."""
     aggs = []
     for i, col in enumerate(cols):
-        c, ok = _valid(col)
+        c, ok = _valid(df, col)
         v = F.when(ok, c)
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
     return {col: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, col in enumerate(cols)}
 
 
-def kth_smallest(df: DataFrame, ranks: dict[str, list[int]], *, buckets: int = BUCKETS,
-                 final_rows: int = FINAL_ROWS,
+def _middle(lo, hi):
+    """A value between lo and hi that halves the numbers of the type between them."""
+    if isinstance(lo, int):
+        return (lo + hi) // 2
+
+    def order(x: float) -> int:
+        bits = struct.unpack("<q", struct.pack("<d", x))[0]
+        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+    mid = (order(lo) + order(hi)) // 2
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(mid)))[0], -1.0 if mid < 0 else 1.0)
+
+
+def kth_smallest(df: DataFrame, ranks: dict[str, list[int]], *, final_rows: int = FINAL_ROWS,
                  ranges: dict[str, tuple[int, float | None, float | None]] | None = None
-                 ) -> dict[tuple[str, int], float | None]:
+                 ) -> dict[tuple[str, int], float | int | None]:
     """Exact k-th smallest non-null value for every (column, rank) asked."""
     cols = list(ranks)
     ranges = ranges or column_ranges(df, cols)
     targets: list[_Target] = []
-    out: dict[tuple[str, int], float | None] = {}
+    out: dict[tuple[str, int], float | int | None] = {}
     for col in cols:
         n, lo, hi = ranges[col]
         for r in sorted(set(ranks[col])):
@@ -84,29 +105,27 @@ def kth_smallest(df: DataFrame, ranks: dict[str, list[int]], *, buckets: int = B
                 t.value = lo
             targets.append(t)
 
-    for _ in range(MAX_PASSES):
-        open_ = [t for t in targets if not t.done and t.count > final_rows]
-        if not open_:
-            break
+    while open_ := [t for t in targets if not t.done and t.count > final_rows]:
         probes = _probes(open_)
-        rows = _bucket_pass(df, probes, buckets)
-        for pid, (key, members) in enumerate(probes):
-            stats = sorted(rows.get(pid, []))
+        splits = _splitters(df, probes)
+        rows = _count_pass(df, probes, splits)
+        for pid, (_key, members) in enumerate(probes):
             for t in members:
-                cum = t.below
-                for b, cnt, bmin, bmax in stats:
+                cum, before = t.below, t.count
+                for _b, cnt, bmin, bmax in sorted(rows.get(pid, [])):
                     if cum + cnt > t.rank:
                         t.lo, t.hi, t.below, t.count = bmin, bmax, cum, cnt
                         if bmin == bmax:
                             t.value = bmin
                         break
                     cum += cnt
+                t.slow = t.count * 2 > before
 
     rest = [t for t in targets if not t.done]
     if rest:
         probes = _probes(rest)
-        fetched = _fetch_windows(df, probes)
-        for pid, (key, members) in enumerate(probes):
+        fetched = _fetch_windows(df, probes, final_rows)
+        for pid, (_key, members) in enumerate(probes):
             vals = fetched.get(pid, [])
             for t in members:
                 t.value = vals[t.rank - t.below]
@@ -123,39 +142,70 @@ def _probes(targets: list[_Target]):
     return list(groups.items())
 
 
-def _window_hits(probes):
+def _window_hits(df: DataFrame, probes):
     hits = []
     for pid, ((col, lo, hi), _members) in enumerate(probes):
-        c, ok = _valid(col)
-        hits.append((pid, c, ok & (c >= F.lit(lo)) & (c <= F.lit(hi)), lo, hi))
+        c, ok = _valid(df, col)
+        hits.append((pid, c, ok & (c >= F.lit(lo)) & (c <= F.lit(hi))))
     return hits
 
 
-def _bucket_pass(df: DataFrame, probes, buckets: int) -> dict[int, list[tuple]]:
-    structs = []
-    for pid, c, inside, lo, hi in _window_hits(probes):
-        width = hi - lo
-        b = F.least(F.lit(buckets - 1),
-                    F.floor((c - F.lit(lo)) / F.lit(width) * F.lit(buckets))).cast("int")
-        structs.append(F.when(inside, F.struct(F.lit(pid).alias("p"), b.alias("b"), c.alias("v"))))
-    exploded = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-                .select("s.p", "s.b", "s.v"))
-    agg = exploded.groupBy("p", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
-                                         F.max("v").alias("mx"))
+def _splitters(df: DataFrame, probes) -> list[list]:
+    """Per probe the ascending values at which its window is cut."""
+    aggs = []
+    for pid, c, inside in _window_hits(df, probes):
+        fractions = sorted({min(max((t.rank - t.below + 0.5) / t.count + m, 0.0), 1.0)
+                            for t in probes[pid][1] for m in (-SKETCH_MARGIN, SKETCH_MARGIN)})
+        aggs.append(F.percentile_approx(F.when(inside, c), fractions, SKETCH_ACCURACY).alias(f"s{pid}"))
+    row = df.agg(*aggs).first()
+    out = []
+    for pid, ((_col, lo, hi), members) in enumerate(probes):
+        cuts = {v for v in row[f"s{pid}"] or [] if lo <= v <= hi}
+        if not cuts or any(t.slow for t in members):
+            cuts.add(_middle(lo, hi))
+        out.append(sorted(cuts))
+    return out
+
+
+def _count_pass(df: DataFrame, probes, splits) -> dict[int, list[tuple]]:
+    """(range, count, min, max) per probe: ranges below, on and between its splitters."""
+    by_type: dict[str, list] = {}
+    for pid, c, inside in _window_hits(df, probes):
+        b = F.lit(0)
+        for s in splits[pid]:
+            b = b + (c >= F.lit(s)).cast("int") + (c > F.lit(s)).cast("int")
+        kind = "long" if isinstance(df.schema[probes[pid][0][0]].dataType, T.IntegralType) else "double"
+        nothing = F.lit(None).cast("double" if kind == "long" else "long")
+        by_type.setdefault(kind, []).append(F.when(inside, F.struct(
+            F.lit(pid).alias("p"), b.alias("b"), (c if kind == "long" else nothing).alias("i"),
+            (c if kind == "double" else nothing).alias("x"))))
+    hits = F.filter(F.array(*[h for hs in by_type.values() for h in hs]), lambda s: s.isNotNull())
+    agg = (df.select(F.explode(hits).alias("s")).select("s.*").groupBy("p", "b")
+           .agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i0"), F.max("i").alias("i1"),
+                F.min("x").alias("x0"), F.max("x").alias("x1")))
     rows: dict[int, list[tuple]] = {}
-    for r in agg.collect():
-        rows.setdefault(r["p"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
+    for r in agg.collect():                   # probes x (2 * splitters + 1) rows
+        lo, hi = (r["i0"], r["i1"]) if r["i0"] is not None else (r["x0"], r["x1"])
+        rows.setdefault(r["p"], []).append((r["b"], r["n"], lo, hi))
     return rows
 
 
-def _fetch_windows(df: DataFrame, probes) -> dict[int, list[float]]:
-    structs = [F.when(inside, F.struct(F.lit(pid).alias("p"), c.alias("v")))
-               for pid, c, inside, _lo, _hi in _window_hits(probes)]
+def _fetch_windows(df: DataFrame, probes, final_rows: int) -> dict[int, list]:
+    structs = []
+    for pid, c, inside in _window_hits(df, probes):
+        whole = isinstance(df.schema[probes[pid][0][0]].dataType, T.IntegralType)
+        structs.append(F.when(inside, F.struct(
+            F.lit(pid).alias("p"), (c if whole else F.lit(None).cast("long")).alias("i"),
+            (F.lit(None).cast("double") if whole else c).alias("x"))))
     small = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-             .select("s.p", "s.v"))
-    vals: dict[int, list[float]] = {}
-    for r in small.collect():          # bounded: every window holds <= final_rows values
-        vals.setdefault(r["p"], []).append(r["v"])
+             .select("s.*"))
+    most = final_rows * len(probes)
+    got = small.limit(most + 1).collect()
+    if len(got) > most:
+        raise RuntimeError(f"more than {most} values in windows counted as at most that many: the input changed meanwhile")
+    vals: dict[int, list] = {}
+    for r in got:
+        vals.setdefault(r["p"], []).append(r["x"] if r["i"] is None else r["i"])
     for v in vals.values():
         v.sort()
     return vals
@@ -190,7 +240,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw
             if r0 < 0:
                 res.append(None)
                 continue
-            v0, v1 = vals[(col, r0)], vals[(col, r1)]
+            v0, v1 = float(vals[(col, r0)]), float(vals[(col, r1)])
             res.append(v0 if frac == 0 or v0 == v1 else v0 + (v1 - v0) * frac)
         out[col] = res
     return out
