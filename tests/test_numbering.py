@@ -15,22 +15,19 @@ def test_running_totals_any_partitioning(spark):
         assert got == list(want)
 
 
-def test_number_rows_hot_key_split_matches_fast_path(spark):
+def test_number_rows_with_a_hot_key(spark):
     from ticketlens.operators.numbering import number_rows
-    # a third of the rows share one key (and are identical copies); the rest are unique
-    rows = [("hot", None)] * 1500 + [(f"k{i}", None if i % 2 else "x") for i in range(3000)]
-    df = spark.createDataFrame(rows, "key string, oid string").repartition(7)
+    # a third of the rows share one key, half of those differ in another column; the rest are unique
+    rows = [("hot", None, i % 2 and i) for i in range(1500)] + [(f"k{i}", None if i % 2 else "x", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, oid string, v long").repartition(7)
     cond = F.col("oid").isNull()
-    fast = number_rows(df, cond, "key", "n")
-    split = number_rows(df, cond, "key", "n", hot_slice_rows=100)
+    out, again = number_rows(df, cond, "key", "n"), number_rows(df.repartition(3), cond, "key", "n")
     m = df.where(cond).count()
-    for out in (fast, split):
-        got = sorted(r.n for r in out.where(F.col("n").isNotNull()).collect())
-        assert got == list(range(m))
-        assert out.where(F.col("n").isNull()).count() == df.count() - m
-    # unique keys get the same number on both paths; the hot key gets the same set
-    a = {r.key: r.n for r in fast.where((F.col("key") != "hot") & F.col("n").isNotNull()).collect()}
-    b = {r.key: r.n for r in split.where((F.col("key") != "hot") & F.col("n").isNotNull()).collect()}
-    assert a == b
-    hot = lambda o: sorted(r.n for r in o.where(F.col("key") == "hot").collect())
-    assert hot(fast) == hot(split)
+    assert sorted(r.n for r in out.where(F.col("n").isNotNull()).collect()) == list(range(m))
+    assert out.where(F.col("n").isNull()).count() == df.count() - m
+    pairs = lambda d: sorted((r.key, r.v, r.n) for r in d.where("n is not null and not (key = 'hot' and v = 0)").collect())
+    assert pairs(out) == pairs(again)                    # rows that differ have a fixed order
+    import hashlib
+    keys = sorted({r[0] for r in rows if r[1] is None}, key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k))
+    first = {r.key: r.n for r in out.where("n is not null").orderBy(F.desc("n")).collect()}
+    assert [k for k, _ in sorted(first.items(), key=lambda kv: kv[1])] == keys

@@ -1,7 +1,8 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from ticketlens.operators.stats import correlation_matrix, histogram, kde, kde_exact
+from ticketlens.operators.stats import correlation_matrix, histogram, kde, kde_exact, kdes
 
 
 def test_histogram_matches_numpy_auto(spark):
@@ -41,3 +42,32 @@ def test_correlation_pairwise_complete(spark):
         for y in "abc":
             assert abs(got[(x, y)] - want.loc[x, y]) < 1e-9
     assert got[("a", "k")] is None and got[("k", "k")] is None     # constant column -> NULL, no error
+
+
+def test_kde_with_one_far_value_of_a_million(spark):
+    df = spark.range(1_000_000).select(F.when(F.col("id") == 5, 1e6).otherwise(F.randn(3)).alias("x"))
+    df = df.withColumn("x", F.when(F.col("x") > 1e5, F.lit(1e6)).otherwise(F.col("x"))).persist()
+    a = np.array([r.density for r in sorted(kde(df, "x").collect())])
+    b = np.array([r.density for r in sorted(kde_exact(df, "x").collect())])
+    df.unpersist()
+    assert np.max(np.abs(a - b)) < 1e-3 * np.max(b)
+    assert abs(a[0] / b[0] - 1) < 1e-3
+
+
+def test_kde_range_scale_and_empty_columns(spark):
+    x = np.random.default_rng(1).gamma(2, 3, 4000)
+    df = spark.createDataFrame([(float(v), 1.0, None) for v in x], "x double, k double, z double")
+    out = sorted(kde(df, "x").collect())
+    assert abs(out[0].x - x.min()) < 1e-9 and abs(out[-1].x - x.max()) < 1e-9
+    wide = sorted(kde(df, "x", cut=3.0).collect())
+    assert wide[0].x < x.min() and wide[-1].x > x.max()
+    edges = np.histogram_bin_edges(x, "auto")
+    assert abs(out[7].curve - out[7].density * len(x) * (edges[1] - edges[0])) < 1e-6
+    assert kdes(df, ["k", "z"]).count() == 0
+
+
+def test_correlation_leaves_nan_out(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, float("nan"), 3.0), (3.0, 1.0, 2.0), (4.0, 5.0, 9.0)], "a double, b double, c double")
+    got = {(r.feature_x, r.feature_y): r.correlation for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
+    want = df.toPandas().corr()
+    assert all(abs(got[i, j] - want.loc[i, j]) < 1e-9 for i in "abc" for j in "abc")

@@ -6,7 +6,7 @@ one aggregate on the raw rows (row count, mean response time), the
 de-duplication shuffle (the only wide step that moves whole rows; its output
 is written to the checkpoint folder once), one aggregate for every null
 count, one value-count shuffle for all modes, a few small passes for exact
-medians, then a single narrow projection applies every fill.
+medians, then one projection applies every fill and the result is written.
 """
 
 from __future__ import annotations
@@ -19,33 +19,51 @@ from ticketlens import schema as S
 from ticketlens.functions import clip, lower_text, minutes_between
 from ticketlens.operators.numbering import number_rows
 from ticketlens.operators.order_stats import exact_medians, exact_quantiles, modes
-from ticketlens.session import materialize
+from ticketlens.session import materialize, release
 
-DEFAULT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: unambiguous patterns; day-first and month-first texts need ``formats``
+DEFAULT_TS_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
 GENERATED_ID_PREFIX = "generated_order_"
 
 
 def convert_datetimes(df: DataFrame, cols: list[str] = S.DATETIME_COLS,
-                      formats: dict[str, str] | None = None) -> DataFrame:
+                      formats: dict[str, str | list[str]] | str | list[str] | None = None) -> DataFrame:
     """Coerce columns to naive timestamps; unparsable text becomes NULL.
 
-    Text is parsed with an explicit pattern per column (``formats``), never a
-    guessed one.  Typed timestamps are normalised to TIMESTAMP_NTZ.
+    Text is parsed with the first of its candidate patterns that fits, never a
+    guessed one: ``formats`` is one pattern or a list for all columns, or a dict
+    by column.  Typed timestamps are normalised to TIMESTAMP_NTZ.
     """
-    formats = formats or {}
     exprs = {}
     for c in cols:
         if c not in df.columns:
             continue
         dtype = df.schema[c].dataType
         if isinstance(dtype, T.StringType):
-            fmt = formats.get(c, DEFAULT_TS_FORMAT)
-            exprs[c] = F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
+            exprs[c] = F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in _patterns(formats, c)]).cast("timestamp_ntz")
         elif isinstance(dtype, (T.TimestampType, T.DateType)):
             exprs[c] = F.col(c).cast("timestamp_ntz")
     return df.withColumns(exprs) if exprs else df
 
 
+def _patterns(formats, col: str) -> list[str]:
+    chosen = formats.get(col, DEFAULT_TS_FORMATS) if isinstance(formats, dict) else (formats or DEFAULT_TS_FORMATS)
+    return [chosen] if isinstance(chosen, str) else list(chosen)
+
+
+def check_parsed(text: DataFrame, parsed: DataFrame, cols: list[str] = S.DATETIME_COLS) -> dict[str, int]:
+    """Texts per column that no pattern fitted; raises if a column with texts came out all NULL."""
+    cols = [c for c in cols if c in text.columns and isinstance(text.schema[c].dataType, T.StringType)]
+    if not cols:
+        return {}
+    row = text.agg(*[F.count(c).alias(c) for c in cols]).first()
+    got = parsed.agg(*[F.count(c).alias(c) for c in cols]).first()
+    lost = [c for c in cols if row[c] and not got[c]]
+    if lost:
+        raise ValueError(f"no timestamp pattern fits any text of {', '.join(lost)}; pass formats=")
+    return {c: row[c] - got[c] for c in cols}
+
+
 def add_response_time(df: DataFrame) -> DataFrame:
     """``response_time_minutes`` = responded - reported, signed."""
     if S.REPORTED in df.columns and S.RESPONDED in df.columns:
@@ -53,10 +71,9 @@ def add_response_time(df: DataFrame) -> DataFrame:
     return df
 
 
-def null_counts(df: DataFrame, cols: list[str] | None = None) -> dict[str, int]:
-    cols = cols or df.columns
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"_{i}"] for i, c in enumerate(cols)}
+def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+    """One copy of each full-row duplicate."""
+    return df.dropDuplicates()
 
 
 def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_ID,
@@ -67,14 +84,17 @@ def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_I
     return numbered.withColumn(col, filled).drop("_gen").select(*df.columns)
 
 
-def clean_data(df: DataFrame, formats: dict[str, str] | None = None, dedup: bool = True
+def clean_data(df: DataFrame, formats=None, dedup: bool = True
                ) -> tuple[DataFrame, dict]:
     """The composite cleaning step; returns the cleaned frame and stats.
 
     ``dedup=False`` is the satisfaction pipeline's variant (no C3).
     """
     stats: dict = {}
-    df = convert_datetimes(df, formats=formats)
+    text, df = df, convert_datetimes(df, formats=formats)
+    unparsed = check_parsed(text, df)
+    if any(unparsed.values()):
+        stats["unparsed_timestamps"] = unparsed
     df = add_response_time(df)
 
     first = df.agg(F.count(F.lit(1)).alias("n"),
@@ -84,7 +104,7 @@ def clean_data(df: DataFrame, formats: dict[str, str] | None = None, dedup: bool
     if "response_time_minutes" in df.columns:
         stats["mean_response_time"] = first["rt"]
 
-    deduped = materialize(df.dropDuplicates() if dedup else df, "deduped")
+    deduped = materialize(drop_duplicate_rows(df) if dedup else df, "deduped")
     nulls_and_rows = deduped.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(deduped.columns)],
@@ -131,6 +151,10 @@ def clean_data(df: DataFrame, formats: dict[str, str] | None = None, dedup: bool
 
     if fills:
         out = out.withColumns(fills)
+    # written: later passes (quantiles, reports, models) read a few columns of it
+    # instead of numbering ids again, and every reader sees the same ids
+    out = materialize(out, "cleaned")
+    release(deduped)
     stats["remaining_missing"] = sum(remaining.values())
     return out, stats
 
@@ -141,13 +165,11 @@ def outlier_columns(df: DataFrame, target_col: str | None = None) -> list[str]:
             if not c.lower().endswith("id") and c != target_col]
 
 
-def cap_outliers(df: DataFrame, target_col: str | None = None, k: float = 1.5
-                 ) -> tuple[DataFrame, dict[str, int], dict[str, tuple[float, float]]]:
-    """Cap to [Q1 - k*IQR, Q3 + k*IQR]; only columns with outliers change value.
-
-    Returns the frame, outliers per capped column, and the bounds used.
-    """
+def outlier_bounds(df: DataFrame, target_col: str | None = None, k: float = 1.5
+                   ) -> tuple[dict[str, int], dict[str, tuple[float, float]]]:
+    """(outliers, bounds [Q1 - k*IQR, Q3 + k*IQR]) per examined column with values."""
     cols = outlier_columns(df, target_col)
+    df = df.select(*cols)
     q = exact_quantiles(df, cols, [0.25, 0.75])
     bounds = {}
     for c in cols:
@@ -157,11 +179,20 @@ def cap_outliers(df: DataFrame, target_col: str | None = None, k: float = 1.5
         iqr = q3 - q1
         bounds[c] = (q1 - k * iqr, q3 + k * iqr)
     if not bounds:
-        return df, {}, {}
+        return {}, {}
     row = df.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_{i}")
                    for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
-    counts = {c: row[f"_{i}"] for i, c in enumerate(bounds)}
-    capped = {c: counts[c] for c in bounds if counts[c] > 0}
+    return {c: row[f"_{i}"] for i, c in enumerate(bounds)}, bounds
+
+
+def cap_outliers(df: DataFrame, target_col: str | None = None, k: float = 1.5
+                 ) -> tuple[DataFrame, dict[str, int], dict[str, tuple[float, float]]]:
+    """Cap to [Q1 - k*IQR, Q3 + k*IQR]; only columns with outliers change value.
+
+    Returns the frame, outliers per capped column, and the bounds used.
+    """
+    counts, bounds = outlier_bounds(df, target_col, k)
+    capped = {c: n for c, n in counts.items() if n > 0}
     # every examined column comes out DOUBLE (pandas turns a clipped integer
     # column into float64); the type then does not depend on the data
     exprs = {c: (clip(F.col(c).cast("double"), float(bounds[c][0]), float(bounds[c][1]))

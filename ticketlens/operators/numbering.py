@@ -6,15 +6,10 @@ partial aggregate whose result is bounded by the number of ranges, turn those
 totals into offsets on the driver, and finish with a window *partitioned by
 range*, so each task sorts only its own slice.
 
-* ``number_rows``: ranges are the leading hex digits of ``md5(key)``; the
-  order is (md5(key), key), which DuckDB can reproduce for the oracle.
-  Hash prefixes are uniform, so the slices are balanced for unique keys.
-  When the (bounded, already collected) slice counts show a hot slice -- one
-  key, or a group of identical copies, holding a large share of the rows --
-  the rows are range-partitioned on (md5(key), key, tie-break) by sampling
-  instead, so a hot key spreads over many tasks.  Rows with equal keys have
-  no order of their own; the tie-break only decides which of them gets which
-  number.
+* ``number_rows``: ranges are sampled over (md5(key), key, tie-break), so a hot
+  key, or a group of identical copies, spreads over many tasks.  The tie-break
+  is a hash of the whole row: rows with equal keys but other values have a fixed
+  order, and only rows equal in all columns are interchangeable.
 * ``running_totals``: ranges come from ``repartitionByRange`` on the order
   column (balanced by sampling), and the range-partitioned rows are written
   to the checkpoint folder once, so the partition ids used for the offsets
@@ -28,9 +23,6 @@ from pyspark.sql import functions as F
 
 from ticketlens.session import materialize
 
-HASH_DIGITS = 3          # 16**3 = 4096 ranges
-HOT_SLICE_ROWS = 2_000_000   # a hash slice above this many rows is split by sampled ranges
-
 
 def hash_order_key(key_col: str) -> Column:
     return F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")))
@@ -47,51 +39,33 @@ def _offsets_frame(spark, rows: list[tuple], key: str, total_cols: list[str]) ->
     return spark.createDataFrame(out, schema)
 
 
-def number_rows(df: DataFrame, cond: Column, key_col: str, out_col: str,
-                hot_slice_rows: int = HOT_SLICE_ROWS) -> DataFrame:
-    """Rows matching ``cond`` get 0..m-1 in (md5(key), key) order; others NULL."""
-    spark = df.sparkSession
-    picked = (df.where(F.coalesce(cond, F.lit(False)))
-              .withColumn("_h", hash_order_key(key_col))
-              .withColumn("_b", F.substring("_h", 1, HASH_DIGITS)))
-    counts = sorted((r["_b"], r["count"]) for r in picked.groupBy("_b").count().collect())
-    if not counts:
-        return df.withColumn(out_col, F.lit(None).cast("long"))
-    if max(n for _, n in counts) > hot_slice_rows:
-        numbered = _number_by_sampled_ranges(picked.drop("_b"), key_col, out_col,
-                                             sum(n for _, n in counts), hot_slice_rows)
-    else:
-        offs = _offsets_frame(spark, counts, "_b", ["n"])          # <= 4096 rows: safe to broadcast
-        w = Window.partitionBy("_b").orderBy("_h", F.col(key_col).asc_nulls_first())
-        numbered = (picked.join(F.broadcast(offs), "_b")
-                    .withColumn(out_col, F.col("_off_n") + F.row_number().over(w) - 1)
-                    .drop("_h", "_b", "_off_n"))
-    rest = df.where(~F.coalesce(cond, F.lit(False))).withColumn(out_col, F.lit(None).cast("long"))
-    return numbered.unionByName(rest)
+def row_tie_break(df: DataFrame) -> Column:
+    """Hash of all values of a row and of which are missing."""
+    lacks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    return F.xxhash64(lacks, *df.columns)
 
 
-def _number_by_sampled_ranges(picked: DataFrame, key_col: str, out_col: str, total: int,
-                              slice_rows: int) -> DataFrame:
-    """Skew-safe numbering: sampled range bounds over (md5(key), key, tie-break).
+def number_rows(df: DataFrame, cond: Column, key_col: str, out_col: str) -> DataFrame:
+    """Rows matching ``cond`` get 0..m-1 in (md5(key), key, tie-break) order; others NULL.
 
-    The tie-break is fixed once by writing the range-partitioned rows to the
-    checkpoint folder, so the per-range counts, the offsets and the final
-    window all see the same rows in the same ranges.
+    The numbered rows are written once, so every reader of the result sees the
+    same numbers.
     """
-    spark = picked.sparkSession
-    import math
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(total / slice_rows))
+    spark = df.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("_h"), F.col(key_col).asc_nulls_first(), F.col("_t")]
-    ranged = materialize(picked.withColumn("_t", F.monotonically_increasing_id())
-                         .repartitionByRange(n_parts, *order)
-                         .withColumn("_range", F.spark_partition_id()), "numbering")
-    per = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
-    offs = _offsets_frame(spark, [(str(k), n) for k, n in per], "_rk", ["n"])   # one row per range
+    picked = (df.where(F.coalesce(cond, F.lit(False))).withColumn("_t", row_tie_break(df))
+              .withColumn("_h", hash_order_key(key_col)))
+    ranged = materialize(picked.repartitionByRange(n_parts, *order).withColumn("_range", F.spark_partition_id()), "numbering")
+    per = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())    # one row per range
+    offs = _offsets_frame(spark, [(str(k), n) for k, n in per], "_rk", ["n"])
     offs = offs.withColumn("_range", F.col("_rk").cast("int")).drop("_rk")
     w = Window.partitionBy("_range").orderBy(*order)
-    return (ranged.join(F.broadcast(offs), "_range")
-            .withColumn(out_col, F.col("_off_n") + F.row_number().over(w) - 1)
-            .drop("_h", "_t", "_range", "_off_n"))
+    numbered = (ranged.join(F.broadcast(offs), "_range")
+                .withColumn(out_col, F.col("_off_n") + F.row_number().over(w) - 1)
+                .drop("_h", "_t", "_range", "_off_n"))
+    rest = df.where(~F.coalesce(cond, F.lit(False))).withColumn(out_col, F.lit(None).cast("long"))
+    return numbered.unionByName(rest)
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], *, descending: bool = False,

@@ -8,19 +8,27 @@ values, so every report stays one lazily planned DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens import schema as S
 from ticketlens.operators.order_stats import exact_quantiles
 from ticketlens.operators.reports import top_values_many
 
 
+def is_missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating-point column (pandas counts both)."""
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return F.col(c).isNull() | F.isnan(F.col(c))
+    return F.col(c).isNull()
+
+
 def missing_report(df: DataFrame) -> DataFrame:
     """Q1: (column_name, missing_values, percentage) for columns with nulls."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
+                  *[F.count_if(is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
     long = wide.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_m{i}").alias("missing_values"))
         for i, c in enumerate(cols)])).alias("kv"))
@@ -29,8 +37,14 @@ def missing_report(df: DataFrame) -> DataFrame:
             .where(F.col("missing_values") > 0))
 
 
+def row_hashes(df: DataFrame) -> DataFrame:
+    """Two 64-bit hashes of every row and of which values it lacks: what a duplicate count shuffles instead of the row."""
+    lacks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])    # hashes pass over NULLs
+    return df.select(F.xxhash64(lacks, *df.columns).alias("h1"), F.xxhash64(F.lit(1), lacks, *df.columns).alias("h2"))
+
+
 def _distinct_rows(df: DataFrame):
-    return df.distinct().select(F.count(F.lit(1))).scalar()
+    return row_hashes(df).distinct().select(F.count(F.lit(1))).scalar()
 
 
 def duplicate_report(df: DataFrame) -> DataFrame:
@@ -48,6 +62,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
+        x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
                  F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     wide = df.agg(*aggs)
@@ -72,7 +87,7 @@ def top_values_report(df: DataFrame, n_cols: int = 5, top: int = 5) -> DataFrame
 def quality_summary(df: DataFrame) -> DataFrame:
     """Q5-Q7: rows, columns, duplicates (count, percent), missing cells."""
     d = _distinct_rows(df)
-    total_missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    total_missing = sum((F.count_if(is_missing(df, c)) for c in df.columns), F.lit(0))
     return df.agg(F.count(F.lit(1)).alias("total_rows"), total_missing.cast("long").alias("total_missing")
                   ).select("total_rows", F.lit(len(df.columns)).alias("total_columns"),
                            (F.col("total_rows") - d).cast("long").alias("duplicates"),
@@ -80,6 +95,18 @@ def quality_summary(df: DataFrame) -> DataFrame:
                            "total_missing")
 
 
+def quality_record(df: DataFrame) -> DataFrame:
+    """Q5: the summary row with the maps ``missing_values`` and ``missing_percent`` over all columns."""
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)])
+    entries = lambda v: F.map_from_entries(F.array(*[
+        F.struct(F.lit(c).alias("k"), v(F.col(f"_m{i}")).alias("v")) for i, c in enumerate(df.columns)]))
+    d = _distinct_rows(df)
+    return wide.select(F.col("_n").alias("total_rows"), F.lit(len(df.columns)).alias("total_columns"),
+                       entries(lambda m: m).alias("missing_values"), entries(lambda m: m * 100.0 / F.col("_n")).alias("missing_percent"),
+                       (F.col("_n") - d).cast("long").alias("duplicates"),
+                       ((F.col("_n") - d) * 100.0 / F.col("_n")).alias("duplicate_percent"))
+
+
 def head(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
     """Q6: first rows by a deterministic order (top-k, not a sample)."""
     order = order or [c for c in (S.UNIQUE_ID, S.REMARKS) if c in df.columns] or df.columns[:1]

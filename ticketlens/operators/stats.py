@@ -1,11 +1,10 @@
 """Distribution statistics: histogram (A17), Gaussian KDE (A18), pairwise
 correlation (A19).
 
-All three are fixed-size aggregates over the rows: the histogram is a
-``groupBy(bin)`` with at most ``n_bins`` groups; the KDE is evaluated from a
-fine histogram (linear work in rows, then bins x grid work independent of
-the row count); the correlation matrix is a handful of wide aggregates
-(batched so generated code stays small).
+The histogram is a ``groupBy(bin)``; the KDE is evaluated from the occupied
+cells of a grid finer than its bandwidth (linear work in rows, then cells x
+points); the correlation matrix folds each task's rows into k x k moments.
+NaN counts as missing in all three, as in pandas.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 from ticketlens.operators.order_stats import exact_quantiles
 
 KDE_GRID = 200
-KDE_CUT = 3.0
-KDE_BINS = 4096
+KDE_CELLS = 64           # cells to a bandwidth
 
 
 def _moments(df: DataFrame, col: str):
@@ -63,10 +61,9 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     counts = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     width = (last - first) / bins
-    # all bin ids come from a range of ``bins`` rows (bounded by the bin rule),
-    # so empty bins appear with count 0
+    # every bin id, so that empty bins appear with count 0
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(F.broadcast(counts) if bins <= 100_000 else counts, "bin", "left")
+    return (grid.join(counts, "bin", "left")
             .select("bin", (F.lit(first) + F.col("bin") * F.lit(width)).alias("bin_start"),
                     (F.lit(first) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
@@ -101,50 +98,84 @@ def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
                             F.struct(F.lit(c).alias("column_name"), idx.alias("bin"))))
     counts = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("p"))
               .groupBy("p.column_name", "p.bin").agg(F.count(F.lit(1)).alias("count")))
-    # every bin of every column (bounded by the bin rules) so empty bins show 0
-    grid = spark.createDataFrame(
-        [(c, b, first + b * ((last - first) / bins), first + (b + 1) * ((last - first) / bins))
-         for c, (first, last, bins) in specs.items() for b in range(bins)],
-        "column_name string, bin int, bin_start double, bin_end double")
+    # every bin of every column, so that empty bins show 0; made by the cluster, as a
+    # heavy tail can ask for millions of bins
+    grid = spark.createDataFrame([(c, first, last, bins) for c, (first, last, bins) in specs.items()],
+                                 "column_name string, first double, last double, bins long")
+    width = (F.col("last") - F.col("first")) / F.col("bins")
+    grid = (grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("b"))
+            .select("column_name", F.col("b").cast("int").alias("bin"), (F.col("first") + F.col("b") * width).alias("bin_start"),
+                    (F.col("first") + (F.col("b") + 1) * width).alias("bin_end")))
     return (grid.join(counts, ["column_name", "bin"], "left")
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 
 
-def kde(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = KDE_CUT,
-        bins: int = KDE_BINS) -> DataFrame:
-    """(point, x, density) of a Gaussian KDE with Scott's bandwidth.
+def _column_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
+    """(count, min, max, sample standard deviation) per column, NaN left out, in one aggregate."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        v = F.when(~F.isnan(x), x)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.stddev_samp(v).alias(f"sd{i}")]
+    m = df.agg(*aggs).first()
+    return {c: (m[f"n{i}"], m[f"lo{i}"], m[f"hi{i}"], m[f"sd{i}"]) for i, c in enumerate(cols)}
+
+
+KDE_SCHEMA = "column_name string, point int, x double, density double, curve double"
 
-    Bandwidth = sample std * n^(-1/5); grid = ``grid_size`` points from
-    min - cut*bw to max + cut*bw.  Rows are first counted into ``bins``
-    equal-width bins and each bin acts as one weighted sample at its centre
-    (linear-binning approximation; the shift is at most half a bin width).
+
+def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS) -> DataFrame:
+    """(column_name, point, x, density, curve) of Gaussian KDEs with Scott's bandwidth, as drawn over histograms.
+
+    Bandwidth = sample std * n^(-1/5); ``grid_size`` points from min - cut*bw to
+    max + cut*bw (the drawn curve has cut 0).  ``curve`` is the density on the
+    count axis: density * n * width of the automatic histogram bins.
+
+    Rows are gathered into cells of bandwidth / ``cells``; a cell acts through its
+    count, mean and variance (second-order expansion of the kernel), and only
+    occupied cells exist, so one far value costs one cell.  A constant or empty
+    column has no curve.
     """
-    m = _moments(df, col)
     spark = df.sparkSession
-    if not m["n"] or not m["sd"]:
-        return spark.createDataFrame([], "point int, x double, density double")
-    n, lo, hi = m["n"], m["lo"], m["hi"]
-    bw = m["sd"] * n ** (-0.2)
-    g0, g1 = lo - cut * bw, hi + cut * bw
-    step = (g1 - g0) / (grid_size - 1)
-    bin_w = (hi - lo) / bins if hi > lo else 1.0
-    x = F.col(col).cast("double")
-    idx = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) / F.lit(bin_w))).cast("int")
-    binned = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(idx.alias("b"))
-              .agg(F.count(F.lit(1)).alias("c"))
-              .select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(bin_w)).alias("xc"), "c"))
-    points = F.sequence(F.lit(0), F.lit(grid_size - 1))
-    contrib = binned.select(F.posexplode(F.transform(
-        points, lambda p: F.col("c") * F.exp(-0.5 * F.pow((F.lit(g0) + p * F.lit(step) - F.col("xc")) / F.lit(bw), 2))
-    )).alias("point", "w"))
-    norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    return (contrib.groupBy("point").agg(F.sum("w").alias("w"))
-            .select(F.col("point").cast("int").alias("point"),
-                    (F.lit(g0) + F.col("point") * F.lit(step)).alias("x"),
-                    (F.col("w") * F.lit(norm)).alias("density")))
+    stats = _column_stats(df, cols)
+    live = [c for c in cols if stats[c][0] and stats[c][3]]
+    if not live:
+        return spark.createDataFrame([], KDE_SCHEMA)
+    quart = exact_quantiles(df, live, [0.25, 0.75])
+    specs = []
+    for c in live:
+        n, lo, hi, sd = stats[c]
+        bw = sd * n ** (-0.2)
+        first, last, bins = auto_bins(n, lo, hi, *quart[c])
+        g0 = lo - cut * bw
+        specs.append((c, bw, g0, (hi + cut * bw - g0) / (grid_size - 1), lo, 1.0 / (n * bw * math.sqrt(2 * math.pi)),
+                      n * (last - first) / bins))
+    pairs = []
+    for c, bw, _g0, _step, lo, _norm, _scale in specs:
+        x = F.col(c).cast("double")
+        pairs.append(F.when(x.isNotNull() & ~F.isnan(x), F.struct(
+            F.lit(c).alias("column_name"), F.floor((x - F.lit(lo)) / F.lit(bw / cells)).alias("cell"), x.alias("v"))))
+    occupied = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("s")).select("s.*")
+                .groupBy("column_name", "cell")
+                .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")))
+    spec = spark.createDataFrame(specs, "column_name string, bw double, g0 double, step double, lo double, norm double, scale double")
+    near = occupied.join(F.broadcast(spec), "column_name")               # one row per column
+    u = lambda p: (F.col("g0") + p * F.col("step") - F.col("mean")) / F.col("bw")
+    weight = lambda p: F.col("n") * F.exp(-0.5 * u(p) * u(p)) * (
+        1.0 + 0.5 * (u(p) * u(p) - 1.0) * F.col("var") / (F.col("bw") * F.col("bw")))
+    parts = near.select("column_name", "g0", "step", "norm", "scale", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(grid_size - 1)), weight)).alias("point", "w"))
+    return (parts.groupBy("column_name", "point", "g0", "step", "norm", "scale").agg(F.sum("w").alias("w"))
+            .select("column_name", F.col("point").cast("int").alias("point"), (F.col("g0") + F.col("point") * F.col("step")).alias("x"),
+                    (F.col("w") * F.col("norm")).alias("density"), (F.col("w") * F.col("norm") * F.col("scale")).alias("curve")))
+
+
+def kde(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS) -> DataFrame:
+    """(point, x, density, curve) of one column; see ``kdes``."""
+    return kdes(df, [col], grid_size, cut, cells).drop("column_name")
 
 
-def kde_exact(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = KDE_CUT) -> DataFrame:
+def kde_exact(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0.0) -> DataFrame:
     """The same KDE summed over every row (one wide aggregate, no binning)."""
     m = _moments(df, col)
     spark = df.sparkSession
@@ -209,7 +240,8 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     k = len(cols)
     names = [f"c{i}" for i in range(k)]
-    narrow = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)])
+    values = [F.col(c).cast("double") for c in cols]
+    narrow = df.select(*[F.when(~F.isnan(v), v).alias(n) for v, n in zip(values, names)])
     row = narrow.agg(*[F.avg(n).alias(n) for n in names]).first()
     means = [row[n] for n in names]
     parts = narrow.mapInPandas(_moment_blocks(names, means),

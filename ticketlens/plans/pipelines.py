@@ -1,10 +1,10 @@
 """End-to-end plans: load -> profile -> clean -> preprocess -> features.
 
 ``delay_stages`` returns every intermediate of the delay pipeline.  Two
-intermediates are written to the checkpoint folder: the de-duplicated table
-inside ``clean_data`` (read by the fill, quantile and numbering jobs) and the
-featured table (read by every report and model stage), so no report replays
-the remark join, the de-duplication shuffle or the label-encoding joins.
+intermediates are written to the checkpoint folder: the cleaned table (read by
+the quantile jobs and every later stage) and the featured table (read by every
+report and model stage), so no report replays the remark join, the
+de-duplication shuffle or the label-encoding joins.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlens import schema as S
 from ticketlens.operators.clean import clean_data, preprocess_data
 from ticketlens.plans.features import FeatureInfo, engineer_features
-from ticketlens.session import materialize
+from ticketlens.session import materialize, release
+from ticketlens.sources.io import nan_to_null
 from ticketlens.sources.tickets import tickets
 
 
@@ -30,11 +31,37 @@ class DelayStages:
     info: FeatureInfo
 
 
+#: stages by (application, folder, state of its tables); the oldest go beyond this many
 _CACHE: dict[tuple, DelayStages] = {}
+CACHE_SIZE = 4
 
 
-def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0) -> DelayStages:
-    clean, stats = clean_data(raw)
+def table_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Length and time of every file of the named tables: new data under an old path is a new state."""
+    sc = spark.sparkContext
+    out = []
+    for name in names:
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            out += sorted((name, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    return tuple(out)
+
+
+def clear_stages() -> None:
+    """Forget all stages and delete the tables that were written for them."""
+    while _CACHE:
+        _forget(next(iter(_CACHE)))
+
+
+def _forget(key: tuple) -> None:
+    st = _CACHE.pop(key)
+    release(st.raw, st.clean, st.featured)
+
+
+def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=None) -> DelayStages:
+    raw = nan_to_null(raw)
+    clean, stats = clean_data(raw, formats=formats)
     pre = preprocess_data(clean)
     featured, info = engineer_features(pre, True, S.TARGET, threshold_hours)
     # the featured table feeds every report and the model stages: write it once
@@ -43,11 +70,16 @@ def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0) -> DelaySta
 
 def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
     """Stages for the derived ticket table of ``sf_dir`` (memoised per session)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, sf_dir, "events", "documents"))
     if key not in _CACHE:
+        while len(_CACHE) >= CACHE_SIZE:
+            _forget(next(iter(_CACHE)))
         # the loaded table is written once (as the reference loads its CSV once):
         # profiling, de-duplication and the raw-row queries all read it
-        _CACHE[key] = delay_stages_from(materialize(tickets(spark, sf_dir), "tickets"))
+        raw = materialize(tickets(spark, sf_dir), "tickets")
+        st = delay_stages_from(raw)
+        st.raw = raw
+        _CACHE[key] = st
     return _CACHE[key]
 
 

@@ -353,7 +353,7 @@ def _response_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- statistics
 from ticketlens.operators import stats as ST  # noqa: E402
-from ticketlens.operators.clean import cap_outliers, clean_data  # noqa: E402
+from ticketlens.operators.clean import clean_data, convert_datetimes, outlier_bounds  # noqa: E402
 from ticketlens.plans import sql_twins as TW  # noqa: E402
 
 
@@ -376,11 +376,18 @@ def _distribution_histograms(spark, sf_dir):
     return ST.histograms(st.featured, st.info.numerical_columns[:5])
 
 
-@register("resolution_kde", rounded_sql(
-    with_stage("featured", TW.kde_body(), TW.kde_sql("resolution_time_hours")), ["x", "density"]))
+@register("resolution_kde", rounded_sql(with_stage(
+    "featured", f"SELECT point, x, density FROM ({TW.kde_body(['resolution_time_hours'])})"), ["x", "density"]))
 def _resolution_kde(spark, sf_dir):
-    """Gaussian KDE (Scott bandwidth) of resolution hours on a 200-point grid."""
-    return ST.kde(featured(spark, sf_dir), "resolution_time_hours")
+    """Gaussian KDE (Scott bandwidth) of resolution hours on 200 points over its range."""
+    return ST.kde(featured(spark, sf_dir), "resolution_time_hours").select("point", "x", "density")
+
+
+@register("distribution_kdes", rounded_sql(with_stage("featured", TW.kde_body(TW.NUMERIC_FEATURES[:5])), ["x", "density"]))
+def _distribution_kdes(spark, sf_dir):
+    """A21 (curves): the KDE of each of the first five numeric features."""
+    st = delay_stages(spark, sf_dir)
+    return ST.kdes(st.featured, st.info.numerical_columns[:5]).drop("curve")
 
 
 @register("feature_correlations", rounded_sql(
@@ -401,14 +408,9 @@ _out_union = " UNION ALL ".join(
 @register("outlier_report", rounded_sql(with_stage("cleaned", _out_union), ["lower_bound", "upper_bound"]))
 def _outlier_report(spark, sf_dir):
     """IQR bounds and outlier count per examined column."""
-    clean = delay_stages(spark, sf_dir).clean
-    _, _, bounds = cap_outliers(clean)
-    counts = clean.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c)
-                         for c, (lo, hi) in bounds.items()])
-    return counts.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(lo).cast("double").alias("lower_bound"),
-                 F.lit(hi).cast("double").alias("upper_bound"), F.col(c).alias("outliers"))
-        for c, (lo, hi) in bounds.items()])).alias("s")).select("s.*")
+    counts, bounds = outlier_bounds(delay_stages(spark, sf_dir).clean)
+    return spark.createDataFrame([(c, float(lo), float(hi), counts[c]) for c, (lo, hi) in bounds.items()],
+                                 "column_name string, lower_bound double, upper_bound double, outliers long")
 
 
 # ---------------------------------------------------------------- model data
@@ -417,21 +419,25 @@ from ticketlens.ml.prep import random_split, stratified_split  # noqa: E402
 from ticketlens.sources.tickets import scored  # noqa: E402
 
 
+_QUOTA = """
+keyed AS (SELECT unique_id, {label} AS lab, row_number() OVER (PARTITION BY {label}
+            ORDER BY substr(md5(coalesce(unique_id, '') || '|42'), 1, 13), md5(coalesce(unique_id, '')), unique_id) AS rn FROM {src}),
+tot AS (SELECT ceil({size}::DOUBLE * count(*)) AS total, count(*) AS n FROM keyed),
+per AS (SELECT lab, total * count(*) / n AS share, floor(total * count(*) / n) AS low, total FROM keyed, tot GROUP BY lab, total, n),
+quota AS (SELECT lab, low + CASE WHEN row_number() OVER (ORDER BY share - low DESC, lab) <= total - sum(low) OVER () THEN 1 ELSE 0 END AS q FROM per)"""
+
+
 @register("train_test_split", with_stage("featured", """
-SELECT unique_id, is_delayed, CASE WHEN rn <= ceil(0.25::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT unique_id, is_delayed,
-    row_number() OVER (PARTITION BY is_delayed ORDER BY substr(md5(coalesce(unique_id, '') || '|42'), 1, 13), unique_id) AS rn,
-    count(*) OVER (PARTITION BY is_delayed) AS cnt FROM featured)"""))
+SELECT unique_id, lab AS is_delayed, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split
+FROM keyed JOIN quota USING (lab)""", _QUOTA.format(label="is_delayed", size="0.25", src="featured")))
 def _train_test_split(spark, sf_dir):
     """M2: stratified 75/25 split by hash order, exact quota per class."""
     return stratified_split(featured(spark, sf_dir), S.TARGET, 0.25, 42).select(S.UNIQUE_ID, S.TARGET, "split")
 
 
 @register("random_split", with_stage("cleaned", """
-SELECT unique_id, CASE WHEN rn <= ceil(0.2::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT unique_id,
-    row_number() OVER (ORDER BY substr(md5(coalesce(unique_id, '') || '|42'), 1, 13), unique_id) AS rn,
-    count(*) OVER () AS cnt FROM cleaned)"""))
+SELECT unique_id, CASE WHEN rn <= q THEN 'test' ELSE 'train' END AS split
+FROM keyed JOIN quota USING (lab)""", _QUOTA.format(label="0", size="0.2", src="cleaned")))
 def _random_split(spark, sf_dir):
     """M1: unstratified 80/20 split by hash order, exact size."""
     return random_split(delay_stages(spark, sf_dir).clean, 0.2, 42).select(S.UNIQUE_ID, "split")
@@ -493,16 +499,16 @@ from ticketlens.ml.compare import melt  # noqa: E402
 from ticketlens.ml.train import feature_importance  # noqa: E402
 from ticketlens.plans import models as MD  # noqa: E402
 
-_MODEL_CACHE: dict[tuple, tuple] = {}
+_MODEL_CACHE: dict[int, tuple] = {}      # by the stages they were fitted on; one entry
 
 
 def _delay_models(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODEL_CACHE:
-        st = delay_stages(spark, sf_dir)
+    st = delay_stages(spark, sf_dir)
+    if id(st) not in _MODEL_CACHE:
         data = MD.prepare_training_data(st.featured, st.info)
-        _MODEL_CACHE[key] = (data, *MD.run_delay_models(data))
-    return _MODEL_CACHE[key]
+        _MODEL_CACHE.clear()
+        _MODEL_CACHE[id(st)] = (data, *MD.run_delay_models(data), st)
+    return _MODEL_CACHE[id(st)][:4]
 
 
 @register("delay_model_comparison")
@@ -530,8 +536,7 @@ def _delay_feature_importance(spark, sf_dir):
 def _csat_model_ranking(spark, sf_dir):
     """Multiclass satisfaction models ranked by accuracy."""
     clean, _ = clean_data(raw(spark, sf_dir), dedup=False)       # pipeline B has no de-duplication
-    train, test = MD.csat_training_data(clean)
-    ranked, verdict, _ = MD.run_csat_models(train, test)
+    ranked, verdict, _ = MD.run_csat_models(MD.csat_training_data(clean))
     v = verdict.first()
-    return ranked.withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),
-                               "small_gap": F.lit(v["small_gap"])})
+    return ranked.drop("runtime").withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),
+                                               "small_gap": F.lit(v["small_gap"])})

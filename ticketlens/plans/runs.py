@@ -7,6 +7,7 @@ header CSV and the run record as JSON, as the reference writes its results.
 
 from __future__ import annotations
 
+import datetime
 import os
 import time
 
@@ -17,6 +18,7 @@ from ticketlens.operators import quality as Q
 from ticketlens.operators import reports as R
 from ticketlens.operators import stats as ST
 from ticketlens.operators.clean import clean_data
+from ticketlens.ml.train import save_model
 from ticketlens.plans import models as MD
 from ticketlens.plans.features import FeatureInfo
 from ticketlens.plans.pipelines import delay_stages_from
@@ -24,11 +26,14 @@ from ticketlens.session import materialize
 from ticketlens.sources import io
 
 
+PROJECT_NAME = "ticketlens"
+
+
 def quality_tables(raw: DataFrame) -> dict[str, DataFrame]:
     """Q1-Q6 profile of a loaded table."""
     return {"missing": Q.missing_report(raw), "duplicates": Q.duplicate_report(raw),
             "describe": Q.describe(raw), "top_values": Q.top_values_report(raw),
-            "summary": Q.quality_summary(raw), "head": Q.head(raw)}
+            "summary": Q.quality_summary(raw), "record": Q.quality_record(raw), "head": Q.head(raw)}
 
 
 def report_tables(df: DataFrame, info: FeatureInfo | None = None, target: str = S.TARGET) -> dict[str, DataFrame]:
@@ -37,7 +42,7 @@ def report_tables(df: DataFrame, info: FeatureInfo | None = None, target: str =
     nums = (info.numerical_columns if info else S.numeric_columns(df))[:5]
     feats = info.feature_columns if info else [c for c in S.numeric_columns(df) if c != target]
     out = {"distribution_top_values": R.top_values_many(df, text, 10),
-           "distribution_histograms": ST.histograms(df, nums)}
+           "distribution_histograms": ST.histograms(df, nums), "distribution_kdes": ST.kdes(df, nums)}
     if "category" in df.columns:
         out["resolution_by_category"] = R.resolution_by_category(df, "category", target)
         out["top_categories"] = R.top_values(df, "category", 10)
@@ -69,38 +74,60 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
     return {name: io.write_table(df, os.path.join(folder, name)) for name, df in tables.items()}
 
 
-def run_delay_pipeline(spark: SparkSession, raw: DataFrame, output_dir: str | None = None, *,
-                       tune: bool = False, cv: int = 0, drop_leakage: bool = False,
-                       data_file: str = "", kinds=MD.KINDS) -> dict:
-    """Profile -> clean -> preprocess -> features -> models -> compare -> reports -> record."""
+def _loaded(spark: SparkSession, raw: DataFrame | str) -> DataFrame:
+    """A ticket table as given, or the CSV export at a path; NaN as NULL, written once."""
+    return materialize(io.nan_to_null(io.read_tickets_csv(spark, raw) if isinstance(raw, str) else raw), "tickets")
+
+
+def run_delay_pipeline(spark: SparkSession, raw: DataFrame | str, output_dir: str | None = None, *,
+                       formats=None, tune: bool = False, cv: int = 0, grids: dict | None = None,
+                       drop_leakage: bool = False, max_train_rows: int | None = None, data_file: str | None = None,
+                       project_name: str = PROJECT_NAME, kinds=MD.KINDS) -> dict:
+    """Profile -> clean -> preprocess -> features -> models -> compare -> reports -> record.
+
+    ``raw`` is a ticket table or the path of a CSV export; ``formats`` names the
+    timestamp patterns of text columns (``clean.convert_datetimes``).
+    """
     t0 = time.time()
-    raw = materialize(raw, "tickets")
+    started = datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    data_file = data_file if data_file is not None else (raw if isinstance(raw, str) else "")
+    raw = _loaded(spark, raw)
     quality = quality_tables(raw)
-    st = delay_stages_from(raw)
+    st = delay_stages_from(raw, formats=formats)
     data = MD.prepare_training_data(st.featured, st.info, drop_leakage=drop_leakage)
-    best, comparison, results = MD.run_delay_models(data, kinds, tune=tune, cv=cv)
+    best, comparison, results = MD.run_delay_models(data, kinds, tune=tune, cv=cv, grids=grids, max_train_rows=max_train_rows)
     reports = report_tables(st.featured, st.info)
+    model_tables = {k: MD.model_tables(r, data.feature_names) for k, r in results.items()}
     best_acc = comparison.where(comparison.Model == best).first()["accuracy"]
     record = io.run_record(
         spark, data_shape=(raw.count(), len(raw.columns)), cleaned_shape=(st.clean.count(), len(st.clean.columns)),
         total_features=st.info.total_features, target_column=st.info.target_column, best_model=best,
-        best_model_accuracy=best_acc, execution_time_seconds=time.time() - t0, data_file=data_file)
+        best_model_accuracy=best_acc, execution_time_seconds=time.time() - t0, data_file=data_file,
+        project_name=project_name, execution_timestamp=started)
     if output_dir:
         io.write_table(st.featured, os.path.join(output_dir, "processed_data"))
-        io.write_comparison(comparison.drop("position"), os.path.join(output_dir, "model_comparison"))
+        io.write_comparison(comparison, os.path.join(output_dir, "model_comparison"))
         write_tables(reports, os.path.join(output_dir, "reports"))
         io.write_run_record(record, os.path.join(output_dir, "project_metadata"))
         for kind, r in results.items():
-            r.model.write().overwrite().save(os.path.join(output_dir, "models", kind))
+            save_model(data.pipeline(r.model), os.path.join(output_dir, "models", kind))
+            write_tables(model_tables[kind], os.path.join(output_dir, "results", kind))
     return {"quality": quality, "clean_stats": st.clean_stats, "featured": st.featured, "info": st.info,
             "comparison": comparison, "best_model": best, "reports": reports, "record": record,
-            "models": results}
+            "models": results, "model_tables": model_tables, "data": data}
 
 
-def run_csat_pipeline(spark: SparkSession, raw: DataFrame, kinds=MD.KINDS,
-                      include_issue_hour: bool = True) -> dict:
+def run_csat_pipeline(spark: SparkSession, raw: DataFrame | str, output_dir: str | None = None, *, formats=None,
+                      kinds=MD.KINDS, include_issue_hour: bool = True, max_train_rows: int | None = None,
+                      params: dict | None = None) -> dict:
     """Clean without de-duplication, satisfaction features, multiclass models, ranking."""
-    clean, stats = clean_data(materialize(raw, "tickets"), dedup=False)
-    train, test = MD.csat_training_data(clean, include_issue_hour=include_issue_hour)
-    ranked, verdict, results = MD.run_csat_models(train, test, kinds)
-    return {"clean_stats": stats, "ranking": ranked, "verdict": verdict, "models": results}
+    clean, stats = clean_data(_loaded(spark, raw), formats=formats, dedup=False)
+    data = MD.csat_training_data(clean, include_issue_hour=include_issue_hour)
+    ranked, verdict, results = MD.run_csat_models(data, kinds, max_train_rows, params)
+    model_tables = {k: MD.model_tables(r, data.feature_names, multiclass=True) for k, r in results.items()}
+    if output_dir:
+        for kind, r in results.items():
+            save_model(data.pipeline(r.model), os.path.join(output_dir, "models", kind))
+            write_tables(model_tables[kind], os.path.join(output_dir, "results", kind))
+    return {"clean_stats": stats, "clean": clean, "ranking": ranked, "verdict": verdict, "models": results,
+            "model_tables": model_tables, "data": data}

@@ -181,24 +181,18 @@ def histograms_sql(cols: list[str], src: str = "featured") -> tuple[str, str]:
     return ctes, body
 
 
-def kde_sql(col: str, src: str = "featured", grid: int = 200, bins: int = 4096, cut: float = 3.0) -> str:
-    return f"""
-ks AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {src}),
-kp AS (SELECT n, lo, hi, sd * pow(n, -0.2::DOUBLE) AS bw FROM ks),
-kg AS (SELECT *, lo - {cut}::DOUBLE * bw AS g0, hi + {cut}::DOUBLE * bw AS g1,
-         CASE WHEN hi > lo THEN (hi - lo) / {bins}.0::DOUBLE ELSE 1.0::DOUBLE END AS bin_w FROM kp),
-kq AS (SELECT *, (g1 - g0) / {grid - 1}.0::DOUBLE AS step FROM kg),
-kb AS (SELECT CAST(least({bins - 1}, floor(({col} - lo) / bin_w)) AS BIGINT) AS b, count(*) AS c
-       FROM {src}, kg WHERE {col} IS NOT NULL GROUP BY 1)"""
-
-
-def kde_body(grid: int = 200) -> str:
-    return f"""
-SELECT CAST(p AS INTEGER) AS point, any_value(g0 + p * step) AS x,
-  sum(c * exp(-0.5::DOUBLE * pow((g0 + p * step - (lo + (b + 0.5::DOUBLE) * bin_w)) / bw, 2)))
-    * any_value(1.0::DOUBLE / (n * bw * sqrt(2 * pi()))) AS density
-FROM kb, kq, (SELECT unnest(range({grid})) AS p) pts
-GROUP BY p"""
+def kde_body(cols: list[str], src: str = "featured", grid: int = 200) -> str:
+    """Gaussian KDEs over [min, max], summed over every row."""
+    parts = []
+    for c in cols:
+        parts.append(f"""
+SELECT '{c}' AS column_name, CAST(p AS INTEGER) AS point, any_value(lo + p * step) AS x,
+  sum(exp(-0.5::DOUBLE * pow((lo + p * step - {c}) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())) AS density
+FROM {src}, (SELECT *, (hi - lo) / {grid - 1}.0::DOUBLE AS step, sd * pow(n, -0.2::DOUBLE) AS bw FROM (
+    SELECT count({c}) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, stddev_samp({c}) AS sd FROM {src})) k,
+  (SELECT unnest(range({grid})) AS p) pts
+WHERE {c} IS NOT NULL AND sd > 0 GROUP BY p""")
+    return " UNION ALL ".join(parts)
 
 
 def correlation_sql(cols: list[str] = None, src: str = "featured") -> str:

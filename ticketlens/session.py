@@ -69,7 +69,28 @@ def materialize(df: DataFrame, name: str = "table", partitions: int | None = Non
     """
     path = scratch_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
     (df.repartition(partitions) if partitions else df).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+#: tables of ``materialize`` that haven't been released, by the identity of their frame
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``materialize`` returned; nothing may read them afterwards."""
+    for df in frames:
+        _, path = _written.pop(id(df), (None, None))
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release_all() -> None:
+    """Delete every table that ``materialize`` wrote in this process and that is still there."""
+    release(*[df for df, _ in list(_written.values())])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -78,17 +99,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-ROWS_PER_TRAINING_TASK = 1_000
+ROWS_PER_TRAINING_TASK = 20_000
+
+
+def training_partitions(rows: int) -> int:
+    """Partitions of an iteratively scanned training table: they grow with its rows, whatever the cluster.
+
+    Bagging seeds are per partition, so a count that followed the cores would
+    make a forest depend on the cluster it was fitted on.
+    """
+    return max(4, -(-rows // ROWS_PER_TRAINING_TASK))
 
 
-def training_partitions(df: DataFrame) -> int:
-    """Partitions for an iteratively scanned training table.
+def checkpoint_by_key(df: DataFrame, key: str, features: str = "features") -> DataFrame:
+    """Checkpoint a training table dealt by the hash of ``key`` and sorted within its parts.
 
-    Iterative learners pay a task launch per partition per iteration, so the
-    table gets one partition per ``ROWS_PER_TRAINING_TASK`` rows, at most one
-    per core of the cluster (more would only queue).
+    The parts and the order of their rows then depend on the data alone; a
+    checkpoint keeps them, where a Parquet scan would pack files by cores.
     """
-    import math
-    n = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(cores, math.ceil(n / ROWS_PER_TRAINING_TASK)))
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    ensure_checkpoint_dir(df.sparkSession)
+    rest = [F.col(c) for c in df.columns if c not in (key, features)]
+    return (df.repartition(training_partitions(df.count()), key)
+            .sortWithinPartitions(key, *rest, vector_to_array(features)).checkpoint())

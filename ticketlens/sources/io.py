@@ -14,7 +14,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +24,25 @@ from pyspark.sql import types as T
 
 from ticketlens import schema as S
 
+# --- fixed values: the texts that a CSV reader of the pandas kind takes as missing ---
+NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                "NULL", "NaN", "None", "n/a", "nan", "null"]
 NUMERIC_TYPES = {"item_price": "double", "connected_handling_time": "double", "csat_score": "bigint"}
 
 
-def read_tickets_csv(spark: SparkSession, path: str, rename: dict[str, str] = S.RAW_TO_SNAKE) -> DataFrame:
-    """Read a ticket export; unknown extra columns pass through unchanged."""
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating-point columns becomes NULL, the one missing value of all later steps."""
+    exprs = {f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name)) for f in df.schema.fields
+             if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(exprs) if exprs else df
+
+
+def read_tickets_csv(spark: SparkSession, path: str, rename: dict[str, str] = S.RAW_TO_SNAKE,
+                     null_markers: list[str] = NULL_MARKERS) -> DataFrame:
+    """Read a ticket export; unknown extra columns pass through, ``null_markers`` become NULL."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True) \
         .option("escape", '"').csv(path)
-    out = raw.select(*[F.col(f"`{c}`").alias(rename.get(c, c)) for c in raw.columns])
+    out = raw.select(*[F.when(~F.col(f"`{c}`").isin(null_markers), F.col(f"`{c}`")).alias(rename.get(c, c)) for c in raw.columns])
     casts = {c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in NUMERIC_TYPES.items() if c in out.columns}
     return out.withColumns(casts) if casts else out
 
@@ -53,8 +65,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 def write_comparison(df: DataFrame, path: str) -> str:
-    """The model comparison table (a few rows) as one header CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The model comparison table (a few rows, model and metrics) as one header CSV file."""
+    df.drop("position", "is_best").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -94,13 +106,14 @@ class ProjectData:
     model_comparison: DataFrame | None
     metadata: dict | None
     models: dict | None
+    unreadable_models: list | None = None
 
 
 def load_project_data(spark: SparkSession, processed_path: str, raw_path: str | None = None,
                       comparison_path: str | None = None, metadata_path: str | None = None,
                       models_dir: str | None = None) -> ProjectData:
     """Load whatever earlier runs left behind; missing parts are None."""
-    df = _try(lambda: spark.read.parquet(processed_path))
+    df = _try(lambda: nan_to_null(spark.read.parquet(processed_path)))
     if df is None and raw_path:
         df = _try(lambda: read_tickets_csv(spark, raw_path))
     comp = _try(lambda: spark.read.option("header", True).option("inferSchema", True).csv(comparison_path)) \
@@ -111,8 +124,9 @@ def load_project_data(spark: SparkSession, processed_path: str, raw_path: str |
         if rec is not None:
             first = rec.first()      # a single run record
             meta = json.loads(json.dumps(first.asDict(recursive=True))) if first else None
-    models = load_models(spark, models_dir) if models_dir else None
-    return ProjectData(df, comp, meta, models)
+    skipped: list = []
+    models = load_models(spark, models_dir, skipped=skipped) if models_dir else None
+    return ProjectData(df, comp, meta, models, skipped)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -121,8 +135,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def load_models(spark: SparkSession, models_dir: str, reader: type[MLReadable] = PipelineModel) -> dict:
-    """Every model saved under ``models_dir`` by name; unreadable ones are skipped."""
+def load_models(spark: SparkSession, models_dir: str, reader: type[MLReadable] = PipelineModel,
+                skipped: list | None = None) -> dict:
+    """Every model saved under ``models_dir`` by name.
+
+    A folder that isn't a readable model is skipped, as in the reference; its
+    name and error are appended to ``skipped``.
+    """
     fs, p = _fs(spark, models_dir)
     if not fs.exists(p):
         return {}
@@ -133,6 +152,7 @@ def load_models(spark: SparkSession, models_dir: str, reader: type[MLReadable] =
         name = st.getPath().getName()
         try:
             out[name] = reader.load(st.getPath().toString())
-        except Exception:  # noqa: BLE001 -- a broken model directory is skipped, as in the reference
-            continue
+        except (Py4JJavaError, PySparkException) as e:
+            if skipped is not None:
+                skipped.append((name, str(e)[:200]))
     return out
