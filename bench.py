@@ -24,8 +24,7 @@ from ticketlens.plans.pipelines import delay_stages  # noqa: E402
 from ticketlens.session import get_spark  # noqa: E402
 
 LARGE = {"tickets_raw", "clean_tickets", "preprocessed_tickets", "featured_tickets", "csat_features",
-         "train_test_split", "random_split"}
-SKIP_DEFAULT = {"csat_model_ranking"}     # unlimited-depth forests on noise labels: minutes; opt in
+         "train_test_split", "random_split", "keyword_remarks", "parsed_text_times", "prepared_numeric"}
 
 
 def run(df, name):
@@ -39,7 +38,6 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = set(os.environ.get("BENCH_QUERIES", "").split(",")) - {""}
-    with_all = os.environ.get("BENCH_ALL", "") == "1"
     spark = get_spark(f"local[{cpus}]", cpus * 2, app_name="ticketlens-bench")
     times = {}
     t0 = time.time()
@@ -48,8 +46,6 @@ def main():
     for name, fn in registry.QUERIES.items():
         if only and name not in only:
             continue
-        if name in SKIP_DEFAULT and not with_all and name not in only:
-            continue
         t = time.time()
         run(fn(spark, sf_dir), name)
         times[name] = round(time.time() - t, 3)

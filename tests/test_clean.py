@@ -64,3 +64,20 @@ def test_cap_outliers_constant_after_median(spark):
     assert {r.x for r in out.collect()} == {1.0}
     pre = preprocess_data(spark.createDataFrame([("MiXeD",), (None,)], "customer_remarks string"))
     assert [r[0] for r in pre.collect()] == ["mixed", "nan"]
+
+
+def test_text_times_in_several_patterns(spark):
+    import datetime as dt
+
+    import pytest
+    from ticketlens.operators.clean import check_parsed, convert_datetimes
+    texts = ["01/08/2023 11:13", "2023-08-01 11:13", "2023-08-15", "2023-08-01T11:13:05", None, "nonsense"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, issue_reported_at string")
+    out = convert_datetimes(df)
+    got = {r.id: r.issue_reported_at for r in out.collect()}
+    assert got[1] == dt.datetime(2023, 8, 1, 11, 13) and got[2] == dt.datetime(2023, 8, 15) and got[3] == dt.datetime(2023, 8, 1, 11, 13, 5)
+    assert got[0] is None and got[4] is None and check_parsed(df, out) == {"issue_reported_at": 2}
+    first = convert_datetimes(df, formats={"issue_reported_at": ["dd/MM/yyyy HH:mm"]})
+    assert {r.id: r.issue_reported_at for r in first.collect()}[0] == dt.datetime(2023, 8, 1, 11, 13)
+    with pytest.raises(ValueError, match="issue_reported_at"):
+        check_parsed(df, convert_datetimes(df, formats="MM-yyyy"))

@@ -32,3 +32,13 @@ def test_featured_invariants(stages):
         assert (mn, mx) == (0, n - 1)
     assert f.where(F.col("is_delayed").isNull()).count() == 0
     assert f.where(F.col("ticket_age_days") < 0).count() == 0
+
+
+def test_codes_are_the_same_on_the_join_path(spark):
+    from ticketlens.operators.encode import encode_categorical_features
+    rows = [(i, "hot" if i % 2 else f"v{i % 50}", None if i % 4 else f"w{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    key = lambda d: sorted((r.id, r.a_encoded, r.b_encoded) for r in d.collect())
+    small, joined = encode_categorical_features(df)[0], encode_categorical_features(df, broadcast_bytes=0)[0]
+    assert key(small) == key(joined) and set(small.columns) == set(joined.columns)
+    assert key(encode_categorical_features(df, broadcast_bytes=600)[0]) == key(small)

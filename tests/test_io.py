@@ -37,3 +37,16 @@ def test_project_data_fallbacks_and_models(spark):
     assert got.df.count() == 1
     assert got.metadata["data_shape"] == [10, 20] and got.metadata["execution_time_seconds"] == 1.23
     assert set(got.models) == {"assembler"}                     # unreadable model skipped
+
+
+def test_null_markers_and_nan(spark):
+    base = tempfile.mkdtemp(prefix="tl-io-", dir="/tmp")
+    with open(os.path.join(base, "t.csv"), "w") as f:
+        f.write("Unique id,category,Item_price\n1,NA,NaN\n2,null,3.5\n3,N/A,\n4,nanny,inf\n")
+    rows = {r.unique_id: r for r in io.read_tickets_csv(spark, os.path.join(base, "t.csv")).collect()}
+    assert [rows[k].category for k in "1234"] == [None, None, None, "nanny"]
+    assert [rows[k].item_price for k in "123"] == [None, 3.5, None]
+    df = spark.createDataFrame([(float("nan"), 1), (2.0, None)], "x double, k int")
+    assert [r.x for r in io.nan_to_null(df).collect()] == [None, 2.0]
+    from ticketlens.operators.quality import missing_report
+    assert {r.column_name: r.missing_values for r in missing_report(df).collect()} == {"x": 1, "k": 1}

@@ -59,12 +59,6 @@ def create_target_variable(df: DataFrame, target_col: str = S.TARGET,
     raise ValueError("No suitable target variable found")
 
 
-def target_summary(df: DataFrame, target_col: str = S.TARGET) -> DataFrame:
-    """Delayed count and percent (one row)."""
-    return df.agg(F.sum(target_col).cast("long").alias("delayed_count"),
-                  (F.avg(target_col) * 100).alias("delayed_pct"))
-
-
 def add_csat_features(df: DataFrame) -> DataFrame:
     """Weekday name and hour of the report, remark presence flag."""
     exprs = {}
@@ -74,15 +68,3 @@ def add_csat_features(df: DataFrame) -> DataFrame:
     if S.REMARKS in df.columns:
         exprs["has_customer_remarks"] = has_remarks_flag(S.REMARKS)
     return df.withColumns(exprs) if exprs else df
-
-
-def add_status_label(df: DataFrame, target_col: str = S.TARGET, out: str = "status") -> DataFrame:
-    """1 -> Delayed, 0 -> On-time."""
-    return df.withColumn(out, status_label(target_col))
-
-
-def add_trend_keys(df: DataFrame, col: str = S.REPORTED) -> DataFrame:
-    """date, hour, day of week (Monday 0) and month keys."""
-    c = F.col(col)
-    return df.withColumns({"date": F.to_date(c), "hour": F.hour(c),
-                           "day_of_week": F.weekday(c), "month": F.month(c)})

@@ -9,16 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens import schema as S
 from ticketlens.operators import quality as Q
+from ticketlens.functions import contains_any
 from ticketlens.operators import reports as R
+from ticketlens.operators.clean import add_response_time, convert_datetimes, drop_duplicate_rows
 from ticketlens.operators.encode import label_dictionary
 from ticketlens.operators.features import add_csat_features
 from ticketlens.plans.pipelines import delay_stages
+from ticketlens.plans import sql_twins as TW
 from ticketlens.plans.sql_twins import ENCODED_COLS, with_stage
 from ticketlens.sources.tickets import tickets
 
@@ -163,8 +169,8 @@ def _clean_tickets(spark, sf_dir):
 @register("clean_stats", rounded_sql(with_stage("cleaned", f"""
 SELECT (SELECT avg(response_time_minutes) FROM conv) AS mean_response_time,
   CAST((SELECT count(*) FROM conv) - (SELECT count(*) FROM dedup) AS BIGINT) AS duplicates_removed,
-  {', '.join(f"(SELECT count_if({c} IS NULL) FROM dedup) AS {c}_{'generated' if c == S.ORDER_ID else 'filled'}"
-             for c in S.MODE_FILL_COLS + [S.ORDER_ID] + S.MEDIAN_FILL_COLS + S.UNKNOWN_FILL_COLS + [S.ORDER_TS])},
+  {', '.join(f"(SELECT count_if({c} IS NULL) FROM dedup) AS {c}_{'generated' if c == 'order_id' else 'filled'}"
+             for c in TW.MODE_FILLED + ["order_id"] + TW.MEDIAN_FILLED + TW.UNKNOWN_FILLED + ["order_date_time"])},
   CAST(({' + '.join(f'count_if({c} IS NULL)' for c in _RAW_COLS + ['response_time_minutes'])}) AS BIGINT)
     AS remaining_missing
 FROM cleaned"""), ["mean_response_time"]))
@@ -351,10 +357,90 @@ def _response_summary(spark, sf_dir):
     return R.response_summary(featured(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- the cuts of the reports, on columns with more groups than they keep
+_CITY = "customer_city"
+_CITY_RATE = (f"SELECT {_CITY}, avg(is_delayed) AS delayed_rate, count(is_delayed) AS ticket_count "
+              f"FROM featured WHERE {_CITY} IS NOT NULL GROUP BY {_CITY} HAVING count(is_delayed) >= 10")
+
+
+@register("delay_by_city", _fsql(f"""
+SELECT {_CITY}, count_if(is_delayed = 0) AS on_time, count_if(is_delayed = 1) AS delayed,
+  count_if(is_delayed = 1) * 100.0::DOUBLE / count(*) AS delayed_pct
+FROM featured WHERE {_CITY} IS NOT NULL AND is_delayed IS NOT NULL GROUP BY {_CITY}
+ORDER BY delayed_pct DESC NULLS LAST, {_CITY} LIMIT 10""", ["delayed_pct"]))
+def _delay_by_city(spark, sf_dir):
+    """A8 where the top 10 cuts (21 cities)."""
+    return R.resolution_by_category(featured(spark, sf_dir), _CITY)
+
+
+@register("city_workload", _fsql(f"""
+SELECT {_CITY}, count(*) AS ticket_count FROM featured WHERE {_CITY} IS NOT NULL
+GROUP BY {_CITY} ORDER BY ticket_count DESC, {_CITY} LIMIT 15"""))
+def _city_workload(spark, sf_dir):
+    """A10 where the top 15 cuts."""
+    return R.agent_workload(featured(spark, sf_dir), _CITY)
+
+
+@register("best_worst_cities", _fsql(f"""
+(SELECT *, 'best' AS side FROM ({_CITY_RATE}) ORDER BY delayed_rate, {_CITY} LIMIT 10)
+UNION ALL
+(SELECT *, 'worst' AS side FROM ({_CITY_RATE}) ORDER BY delayed_rate DESC, {_CITY} DESC LIMIT 10)""", ["delayed_rate"]))
+def _best_worst_cities(spark, sf_dir):
+    """A12 where both sides cut."""
+    return R.best_worst_agents(featured(spark, sf_dir), _CITY)
+
+
+@register("status_by_top_sub_categories", _fsql("""
+SELECT sub_category, count_if(is_delayed = 1) AS Delayed, count_if(is_delayed = 0) AS On_time
+FROM featured WHERE sub_category IN (
+  SELECT sub_category FROM featured WHERE sub_category IS NOT NULL GROUP BY sub_category
+  ORDER BY count(*) DESC, sub_category LIMIT 10) AND is_delayed IS NOT NULL GROUP BY sub_category"""))
+def _status_by_top_sub_categories(spark, sf_dir):
+    """A15 where the busiest 10 cut (12 sub-categories)."""
+    return R.status_by_top_categories(featured(spark, sf_dir), "sub_category")
+
+
+@register("top_delay_rate_cities", _fsql(f"""
+SELECT {_CITY}, avg(is_delayed) AS delayed_rate FROM featured WHERE {_CITY} IS NOT NULL
+GROUP BY {_CITY} ORDER BY delayed_rate DESC, {_CITY} LIMIT 10""", ["delayed_rate"]))
+def _top_delay_rate_cities(spark, sf_dir):
+    """A16 where the top 10 cuts."""
+    return R.top_delay_rate_categories(featured(spark, sf_dir), _CITY)
+
+
+@register("keyword_remarks", with_stage("cleaned", """
+SELECT unique_id, CAST(contains(lower(coalesce(customer_remarks, 'nan')), 'licensed')
+  OR contains(lower(coalesce(customer_remarks, 'nan')), 'worthless') AS INTEGER) AS has_keywords FROM cleaned"""))
+def _keyword_remarks(spark, sf_dir):
+    """F7 with keywords that the remarks hold."""
+    return delay_stages(spark, sf_dir).clean.select(
+        S.UNIQUE_ID, contains_any(S.REMARKS, ["Licensed", "worthless"]).alias("has_keywords"))
+
+
+_TEXT_TIMES = "strptime(strftime({c}, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S') AS {c}"
+
+
+@register("parsed_text_times", with_stage("tickets", "SELECT unique_id, " + ", ".join(
+    _TEXT_TIMES.format(c=c) for c in TW.DATETIME_COLS) + " FROM tickets"))
+def _parsed_text_times(spark, sf_dir):
+    """C1 on text: ticket times written day first and parsed back with a list of patterns."""
+    text = raw(spark, sf_dir).select(S.UNIQUE_ID, *[F.date_format(c, "dd/MM/yyyy HH:mm:ss").alias(c) for c in S.DATETIME_COLS])
+    return convert_datetimes(text, formats=["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss"])
+
+
+@register("quality_record", with_stage("tickets", "SELECT total_rows, duplicates, missing FROM ("
+          "SELECT count(*) AS total_rows, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tickets)) AS BIGINT) AS duplicates, "
+          + " || ',' || ".join(f"'{c}=' || CAST(count_if({c} IS NULL) AS VARCHAR)" for c in _RAW_COLS) + " AS missing FROM tickets)"))
+def _quality_record(spark, sf_dir):
+    """Q5: the quality record; its map of missing values as text."""
+    rec = Q.quality_record(raw(spark, sf_dir))
+    pairs = [F.concat(F.lit(f"{c}="), F.col("missing_values")[c].cast("string")) for c in _RAW_COLS]
+    return rec.select("total_rows", "duplicates", F.concat_ws(",", *pairs).alias("missing"))
+
+
 # ---------------------------------------------------------------- statistics
 from ticketlens.operators import stats as ST  # noqa: E402
-from ticketlens.operators.clean import clean_data, convert_datetimes, outlier_bounds  # noqa: E402
-from ticketlens.plans import sql_twins as TW  # noqa: E402
+from ticketlens.operators.clean import clean_data, outlier_bounds  # noqa: E402
 
 
 @register("resolution_histogram", rounded_sql(
@@ -494,9 +580,99 @@ def _roc_auc(spark, sf_dir):
     return MT.roc_auc(scored(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- model data, prepared
+from ticketlens.ml.compare import best_model, comparison_table, melt, rank_by_accuracy  # noqa: E402
+from ticketlens.ml.prep import fit_categorical_fill, fit_numeric_prep, fill_stage, one_hot_stages  # noqa: E402
+
+_NUM, _TXT = ["item_price", "connected_handling_time", "response_time_minutes"], ["category", "sub_category", "customer_city"]
+_dedup_split = _QUOTA.format(label="0", size="0.2", src="dedup")
+
+
+@register("prepared_numeric", rounded_sql(with_stage("dedup", "SELECT d.unique_id, " + ", ".join(
+    f"(coalesce({c}, m_{c}) - a_{c}) / s_{c} AS {c}_s" for c in _NUM) + " FROM dedup d, fitted",
+    _dedup_split + """,
+part AS (SELECT d.* FROM dedup d JOIN (SELECT unique_id FROM keyed JOIN quota USING (lab) WHERE rn > q) USING (unique_id)),
+med AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _NUM) + """ FROM part),
+fitted AS (SELECT """ + ", ".join(
+        f"any_value(m_{c}) AS m_{c}, avg(coalesce({c}, m_{c})) AS a_{c}, stddev_pop(coalesce({c}, m_{c})) AS s_{c}" for c in _NUM)
+    + " FROM part, med)"), [f"{c}_s" for c in _NUM]))
+def _prepared_numeric(spark, sf_dir):
+    """M3, M5: numeric columns with gaps, imputed by train medians and scaled by train moments."""
+    rows = random_split(_with_gaps(spark, sf_dir), 0.2, 42)
+    prep = fit_numeric_prep(rows.where("split = 'train'"), _NUM)
+    return prep.stage("_s").transform(rows).select(S.UNIQUE_ID, *[f"{c}_s" for c in _NUM])
+
+
+def _with_gaps(spark, sf_dir):
+    """De-duplicated tickets with their missing values."""
+    return drop_duplicate_rows(add_response_time(convert_datetimes(raw(spark, sf_dir))))
+
+
+_onehot = " UNION ALL ".join(
+    f"SELECT '{c}_' || v AS feature, CAST(count_if(coalesce({c}, f.{c}_mode) = v) AS DOUBLE) AS ones "
+    f"FROM dedup, fills f, (SELECT DISTINCT coalesce({c}, (SELECT {c}_mode FROM fills)) AS v FROM part) GROUP BY v" for c in _TXT)
+
+
+@register("prepared_one_hot", with_stage("dedup", _onehot, _dedup_split + """,
+part AS (SELECT d.* FROM dedup d JOIN (SELECT unique_id FROM keyed JOIN quota USING (lab) WHERE rn > q) USING (unique_id)),
+fills AS (SELECT """ + ", ".join(
+    f"(SELECT {c} FROM part WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_mode" for c in _TXT) + ")"))
+def _prepared_one_hot(spark, sf_dir):
+    """M4, M6, M7: text columns filled with the train mode, one-hot coded and assembled; ones per feature over all rows."""
+    rows = random_split(_with_gaps(spark, sf_dir), 0.2, 42)
+    train = rows.where("split = 'train'")
+    fitted = Pipeline(stages=[fill_stage(fit_categorical_fill(train, _TXT)), *one_hot_stages(_TXT), VectorAssembler(
+        inputCols=[f"{c}_oh" for c in _TXT], outputCol="features")]).fit(train)
+    indexer = next(s for s in fitted.stages if isinstance(s, StringIndexerModel))
+    names = [f"{c}_{v}" for c, labels in zip(_TXT, indexer.labelsArray) for v in labels]
+    ones = fitted.transform(rows).select(F.posexplode(vector_to_array("features")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("ones"))
+    named = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return ones.join(named, "i").select("feature", "ones")
+
+
+# three scorers of the labelled documents; the first two always tie
+_CUTS = [("first", 0.1), ("second", 0.1), ("third", 0.3)]
+_cut_rows = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, {i} AS position, avg(CAST(label = CAST(score > {c}::DOUBLE AS BIGINT) AS INTEGER)) AS accuracy FROM scored"
+    for i, (m, c) in enumerate(_CUTS))
+
+
+def _cut_metrics(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return [(m, MT.classification_metrics(rows.withColumn("prediction", (F.col("score") > c).cast("long"))).first().asDict())
+            for m, c in _CUTS]
+
+
+@register("scorer_ranking", rounded_sql(with_stage("scored", f"""
+SELECT model, accuracy, CAST(row_number() OVER (ORDER BY accuracy DESC, position) AS INTEGER) AS rank,
+  (SELECT model FROM ({_cut_rows}) ORDER BY accuracy DESC, position LIMIT 1) AS best_model,
+  (SELECT model FROM ({_cut_rows}) ORDER BY accuracy, position DESC LIMIT 1) AS worst_model,
+  max(accuracy) OVER () - min(accuracy) OVER () AS gap FROM ({_cut_rows})"""), ["accuracy", "gap"]))
+def _scorer_ranking(spark, sf_dir):
+    """Three scorers ranked by accuracy, ties in the given order."""
+    ranked, verdict = rank_by_accuracy(spark, [(m, r["accuracy"], 0.0) for m, r in _cut_metrics(spark, sf_dir)])
+    v = verdict.first()
+    return ranked.drop("runtime").withColumns({k: F.lit(v[k]) for k in ("best_model", "worst_model", "gap")})
+
+
+@register("scorer_comparison", rounded_sql(with_stage("scored", f"""
+SELECT model AS "Model", accuracy, 'auc' AS best_metric, 'first' AS best_model FROM ({_cut_rows})"""), ["accuracy"]))
+def _scorer_comparison(spark, sf_dir):
+    """Best of three scorers (equal AUC: the first wins)."""
+    table = comparison_table(spark, _cut_metrics(spark, sf_dir))
+    best = best_model(table).first()
+    return table.select("Model", "accuracy", F.lit(best["best_metric"]).alias("best_metric"), F.lit(best["Model"]).alias("best_model"))
+
+
+@register("scorer_comparison_long", rounded_sql(with_stage("scored", f"""
+SELECT model AS "Model", 'accuracy' AS "Metric", accuracy AS "Score" FROM ({_cut_rows})"""), ["Score"]))
+def _scorer_comparison_long(spark, sf_dir):
+    """The comparison in long form (its accuracy rows)."""
+    return melt(comparison_table(spark, _cut_metrics(spark, sf_dir))).where("Metric = 'accuracy'")
+
+
 # ---------------------------------------------------------------- models (no SQL twin: fitted models)
-from ticketlens.ml.compare import melt  # noqa: E402
-from ticketlens.ml.train import feature_importance  # noqa: E402
+from ticketlens.ml.train import feature_importance, train_model  # noqa: E402
 from ticketlens.plans import models as MD  # noqa: E402
 
 _MODEL_CACHE: dict[int, tuple] = {}      # by the stages they were fitted on; one entry
@@ -532,11 +708,22 @@ def _delay_feature_importance(spark, sf_dir):
     return feature_importance(results["random_forest"].model, data.feature_names, 15, spark)
 
 
+CSAT_TRAIN_ROWS = 20_000        # documented bound of the satisfaction fits, whose label is noise here
+
+
+@register("delay_cross_validation")
+def _delay_cross_validation(spark, sf_dir):
+    """Five stratified folds of the logistic model on the delay target: mean and deviation of the AUC."""
+    data = _delay_models(spark, sf_dir)[0]
+    r = train_model(data.train, data.test, "logistic_regression", cv=5, max_iter=100)
+    return spark.createDataFrame([(5, round(r.cv_metric_mean, 6), round(r.cv_metric_std, 6))], "folds int, auc_mean double, auc_std double")
+
+
 @register("csat_model_ranking")
 def _csat_model_ranking(spark, sf_dir):
     """Multiclass satisfaction models ranked by accuracy."""
     clean, _ = clean_data(raw(spark, sf_dir), dedup=False)       # pipeline B has no de-duplication
-    ranked, verdict, _ = MD.run_csat_models(MD.csat_training_data(clean))
+    ranked, verdict, _ = MD.run_csat_models(MD.csat_training_data(clean), max_train_rows=CSAT_TRAIN_ROWS)
     v = verdict.first()
     return ranked.drop("runtime").withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),
                                                "small_gap": F.lit(v["small_gap"])})

@@ -2,18 +2,19 @@
 
 ``with_stage(stage, body)`` returns ``WITH <ctes up to stage> <body>``.
 Stages: tickets -> conv -> dedup -> cleaned -> pre -> featured (and scored).
-The SQL is written independently of the Spark code; it shares only the
-fixed column lists of ``ticketlens.schema``.
+The SQL is written independently of the Spark code, with its fixed values spelled
+out here, so that a wrong constant on one side shows.
 """
 
 from __future__ import annotations
 
-from ticketlens import schema as S
-from ticketlens.functions.category import COMPLEXITY, COMPLEXITY_DEFAULT
-from ticketlens.functions.text import URGENT_KEYWORDS
 from ticketlens.sources.tickets import SCORED_SQL, TICKETS_SQL
 
 D = "::DOUBLE"
+DATETIME_COLS = ["order_date_time", "issue_reported_at", "issue_responded", "survey_response_date"]
+MODE_FILLED = ["channel_name", "category", "sub_category", "tenure_bucket", "agent_shift"]
+MEDIAN_FILLED = ["item_price", "connected_handling_time"]
+UNKNOWN_FILLED = ["customer_city", "product_category", "customer_remarks"]
 
 
 def _diff(a: str, b: str, unit_micros: str) -> str:
@@ -27,7 +28,7 @@ def _mode(col: str, src: str = "dedup") -> str:
 
 CONV = f"""
 conv AS (
-  SELECT *, {_diff(S.REPORTED, S.RESPONDED, '60000000.0')} AS response_time_minutes FROM tickets
+  SELECT *, {_diff('issue_reported_at', 'issue_responded', '60000000.0')} AS response_time_minutes FROM tickets
 )"""
 
 DEDUP = """
@@ -38,16 +39,16 @@ for _c in ["unique_id", "channel_name", "category", "sub_category", "customer_re
            "order_date_time", "issue_reported_at", "issue_responded", "survey_response_date",
            "customer_city", "product_category", "item_price", "connected_handling_time",
            "tenure_bucket", "agent_shift", "csat_score", "response_time_minutes"]:
-    if _c in S.MODE_FILL_COLS:
+    if _c in MODE_FILLED:
         _cleaned_cols.append(f"coalesce({_c}, {_mode(_c)}) AS {_c}")
-    elif _c in S.MEDIAN_FILL_COLS:
+    elif _c in MEDIAN_FILLED:
         _cleaned_cols.append(f"coalesce({_c}, (SELECT quantile_cont({_c}, 0.5) FROM dedup)) AS {_c}")
-    elif _c in S.UNKNOWN_FILL_COLS:
+    elif _c in UNKNOWN_FILLED:
         _cleaned_cols.append(f"coalesce({_c}, 'Unknown') AS {_c}")
-    elif _c == S.ORDER_ID:
+    elif _c == "order_id":
         _cleaned_cols.append(f"coalesce({_c}, 'generated_order_' || CAST(_gen AS VARCHAR)) AS {_c}")
-    elif _c == S.ORDER_TS:
-        _cleaned_cols.append(f"coalesce({_c}, {S.REPORTED}) AS {_c}")
+    elif _c == "order_date_time":
+        _cleaned_cols.append(f"coalesce({_c}, issue_reported_at) AS {_c}")
     else:
         _cleaned_cols.append(_c)
 
@@ -100,19 +101,20 @@ def _parts(col: str) -> list[str]:
             f"CAST(coalesce({h} >= 9 AND {h} < 18, false) AS INTEGER) AS {col}_is_business_hours"]
 
 
-_complexity = " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMPLEXITY.items())
-_urgent = " OR ".join(f"contains(lower(coalesce(customer_remarks, 'nan')), '{k}')" for k in URGENT_KEYWORDS)
+_complexity = "WHEN 'Technical' THEN 3 WHEN 'Billing' THEN 2 WHEN 'Shipping' THEN 2 WHEN 'Product' THEN 1 WHEN 'Account' THEN 1"
+_urgent = " OR ".join(f"contains(lower(coalesce(customer_remarks, 'nan')), '{k}')"
+                      for k in ["urgent", "immediately", "asap", "emergency", "critical", "important"])
 
 FEAT_BASE = f"""
 feat_base AS (
   SELECT *,
-    {', '.join(p for c in S.DATETIME_COLS for p in _parts(c))},
-    CASE WHEN {S.ORDER_TS} IS NULL OR {S.REPORTED} IS NULL THEN NULL
-         ELSE greatest({_diff(S.ORDER_TS, S.REPORTED, '86400000000.0')}, 0.0{D}) END AS ticket_age_days,
-    CASE WHEN {S.REPORTED} IS NULL OR {S.RESPONDED} IS NULL THEN NULL
-         ELSE greatest({_diff(S.REPORTED, S.RESPONDED, '3600000000.0')}, 0.0{D}) END AS resolution_time_hours,
+    {', '.join(p for c in DATETIME_COLS for p in _parts(c))},
+    CASE WHEN order_date_time IS NULL OR issue_reported_at IS NULL THEN NULL
+         ELSE greatest({_diff('order_date_time', 'issue_reported_at', '86400000000.0')}, 0.0{D}) END AS ticket_age_days,
+    CASE WHEN issue_reported_at IS NULL OR issue_responded IS NULL THEN NULL
+         ELSE greatest({_diff('issue_reported_at', 'issue_responded', '3600000000.0')}, 0.0{D}) END AS resolution_time_hours,
     coalesce(category, 'nan') || ' - ' || coalesce(sub_category, 'nan') AS combined_category,
-    CAST(CASE category {_complexity} ELSE {COMPLEXITY_DEFAULT} END AS INTEGER) AS issue_complexity,
+    CAST(CASE category {_complexity} ELSE 1 END AS INTEGER) AS issue_complexity,
     CAST(length(coalesce(customer_remarks, 'nan')) AS INTEGER) AS remarks_length,
     CAST(coalesce({_urgent}, false) AS INTEGER) AS has_urgent_keywords
   FROM pre
@@ -145,7 +147,7 @@ def with_stage(stage: str, body: str, extra: str = "") -> str:
     return f"WITH {ctes}\n{body}"
 
 _PART_SUFFIXES = ["hour", "day", "day_of_week", "month", "is_weekend", "is_business_hours"]
-NUMERIC_FEATURES = (CAP_COLS + [f"{c}_{p}" for c in S.DATETIME_COLS for p in _PART_SUFFIXES]
+NUMERIC_FEATURES = (CAP_COLS + [f"{c}_{p}" for c in DATETIME_COLS for p in _PART_SUFFIXES]
                     + ["ticket_age_days", "resolution_time_hours", "issue_complexity", "remarks_length",
                        "has_urgent_keywords"])
 CORR_FEATURES = NUMERIC_FEATURES + [f"{c}_encoded" for c in ENCODED_COLS]
