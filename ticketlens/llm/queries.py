@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix(docs, mixing.word_count(docs["text"]), mixing.quality_weight(docs["text"]))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "epochs")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "epochs")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")))
     outcomes = (pages.join(labels, "page_id")
                 .select(url_reputation.url_host(F.coalesce("url", F.lit(""))).alias("host"), "good"))
-    return url_reputation.judge_urls(pages, outcomes, URL_RULES).drop("url")
+    out = url_reputation.judge_urls(pages, outcomes, URL_RULES).drop("url")
+    return out.withColumns({c: F.round(c, 6) for c in ("posterior", "upper_bound")})
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

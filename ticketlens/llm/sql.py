@@ -24,7 +24,7 @@ r AS (SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, p.budget,
              coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
       FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, epochs,
+SELECT doc_id, size, source_size, round(target, 6) AS target, epochs,
        (epochs * size + greatest(0, least(size, budget - prev)))::BIGINT AS taken FROM r
 """
 
@@ -92,7 +92,7 @@ r AS (SELECT q.*, [x FOR x IN [
         {'rule': 'org/', 'v': 'allow', 'ok': (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/')}] IF x.ok][1] AS hit FROM q)
 SELECT page_id, r.host, path, hit.rule AS rule,
        coalesce(hit.v, CASE WHEN upper_bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-       n_labelled, posterior, upper_bound FROM r JOIN h4 ON r.host = h4.host
+       n_labelled, round(posterior, 6) AS posterior, round(upper_bound, 6) AS upper_bound FROM r JOIN h4 ON r.host = h4.host
 """
 
 ORACLE_SQL = {"op1_mixing": OP1, "op2_chat_formatting": OP2, "op5_warc_revisits": OP5, "op7_url_filter": OP7}
