@@ -13,7 +13,8 @@ from conftest import SF_SMALL
 
 def test_delay_pipeline_writes_and_reloads(spark):
     out = tempfile.mkdtemp(prefix="tl-run-", dir="/tmp")
-    res = run_delay_pipeline(spark, tickets(spark, SF_SMALL), out, kinds=("logistic_regression",))
+    res = run_delay_pipeline(spark, tickets(spark, SF_SMALL), out, kinds=("logistic_regression",), cv=2,
+                             grids={"logistic_regression": {"C": [0.1, 1.0], "penalty": ["l2"]}})
     assert res["best_model"] == "Logistic Regression"
     assert {"resolution_by_category", "correlations", "distribution_histograms", "daily_volume"} <= set(res["reports"])
     rec = res["record"].first()
@@ -45,8 +46,9 @@ def test_delay_pipeline_from_a_csv_path(spark):
         t = t.withColumn(c, F.date_format(c, "dd/MM/yyyy HH:mm:ss"))
     io.write_tickets_csv(t, os.path.join(base, "raw"))
     with pytest.raises(ValueError, match="no timestamp pattern"):
-        run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",))
-    res = run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), formats="dd/MM/yyyy HH:mm:ss")
+        run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), tune=False, cv=0)
+    res = run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), tune=False, cv=0,
+                             formats="dd/MM/yyyy HH:mm:ss")
     assert res["featured"].where("is_delayed = 1").count() > 0 and res["record"].first().data_file.endswith("raw")
 
 

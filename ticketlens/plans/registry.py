@@ -683,7 +683,7 @@ def _delay_models(spark, sf_dir):
     if id(st) not in _MODEL_CACHE:
         data = MD.prepare_training_data(st.featured, st.info)
         _MODEL_CACHE.clear()
-        _MODEL_CACHE[id(st)] = (data, *MD.run_delay_models(data), st)
+        _MODEL_CACHE[id(st)] = (data, *MD.run_delay_models(data, tune=False, cv=0), st)
     return _MODEL_CACHE[id(st)][:4]
 
 
@@ -719,6 +719,15 @@ def _delay_cross_validation(spark, sf_dir):
     return spark.createDataFrame([(5, round(r.cv_metric_mean, 6), round(r.cv_metric_std, 6))], "folds int, auc_mean double, auc_std double")
 
 
+@register("delay_grid_search")
+def _delay_grid_search(spark, sf_dir):
+    """The logistic model's whole grid (8 points, five stratified folds) on the delay target."""
+    data = _delay_models(spark, sf_dir)[0]
+    r = train_model(data.train, data.test, "logistic_regression", tune=True, cv=5, max_iter=100)
+    return spark.createDataFrame([(float(r.best_params["regParam"]), float(r.best_params["elasticNetParam"]), round(r.cv_metric_mean, 6))],
+                                 "reg_param double, elastic_net double, auc_mean double")
+
+
 @register("csat_model_ranking")
 def _csat_model_ranking(spark, sf_dir):
     """Multiclass satisfaction models ranked by accuracy."""

@@ -80,13 +80,14 @@ def _loaded(spark: SparkSession, raw: DataFrame | str) -> DataFrame:
 
 
 def run_delay_pipeline(spark: SparkSession, raw: DataFrame | str, output_dir: str | None = None, *,
-                       formats=None, tune: bool = False, cv: int = 0, grids: dict | None = None,
+                       formats=None, tune: bool = True, cv: int = 5, grids: dict | None = None,
                        drop_leakage: bool = False, max_train_rows: int | None = None, data_file: str | None = None,
                        project_name: str = PROJECT_NAME, kinds=MD.KINDS) -> dict:
     """Profile -> clean -> preprocess -> features -> models -> compare -> reports -> record.
 
     ``raw`` is a ticket table or the path of a CSV export; ``formats`` names the
-    timestamp patterns of text columns (``clean.convert_datetimes``).
+    timestamp patterns of text columns (``clean.convert_datetimes``).  Models are
+    tuned as in the reference unless ``tune=False, cv=0``.
     """
     t0 = time.time()
     started = datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -90,7 +92,11 @@ def release(*frames: DataFrame) -> None:
 
 def release_all() -> None:
     """Delete every table that ``materialize`` wrote in this process and that is still there."""
-    release(*[df for df, _ in list(_written.values())])
+    if SparkContext._active_spark_context is not None:
+        release(*[df for df, _ in list(_written.values())])
+
+
+atexit.register(release_all)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
