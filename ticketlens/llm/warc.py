@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.llm.common import Scratch
+
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"       # fixed: RFC 4648
@@ -182,9 +184,12 @@ def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     WARC-Refers-To names; the digest in its own header must agree, else both
     are null.
     """
-    recs = read_archive(spark, path, keep_payload=False)
-    resp = recs.where("warc_type = 'response'").groupBy(F.col("record_id").alias("o_id")).agg(
-        F.first("page_id").alias("o_page"), F.first("payload_bytes").alias("o_bytes"), F.first("payload_digest").alias("o_digest"))
+    scratch = Scratch(spark, "warc-read")
+    recs = scratch.write(read_archive(spark, path, keep_payload=False).drop("payload"), "records")    # one pass over the archives
+    resp = scratch.write(recs.where("warc_type = 'response'").groupBy(F.col("record_id").alias("o_id")).agg(
+        F.first("page_id").alias("o_page"), F.first("payload_bytes").alias("o_bytes"), F.first("payload_digest").alias("o_digest")),
+        "responses")
+    # a join of two written tables: Spark can split the revisits of one very frequent response
     r = recs.join(resp, F.col("refers_to_id") == F.col("o_id"), "left")
     rev, same = F.col("warc_type") == "revisit", F.col("header_digest") == F.col("o_digest")
     return r.select(
