@@ -28,7 +28,7 @@ def water_fill(sizes, weights, share, cap):
     return target
 
 
-def test_targets_budgets_and_reruns(spark):
+def test_targets_budgets_and_reruns(spark, monkeypatch):
     rows = [(i, " ".join(["w"] * (1 + i % 37)), "abcde"[min(i % 9, 4)]) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixed(docs).collect()
@@ -47,6 +47,8 @@ def test_targets_budgets_and_reruns(spark):
         assert abs(by[n][1] - t) <= 1
     key = lambda rows: sorted((r.doc_id, r.taken) for r in rows)
     assert key(out) == key(mixed(docs.repartition(7)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(out) == key(mixed(docs).collect())
 
 
 def test_fraction_follows_the_keys(spark):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm.common import Scratch, WORD, pack, unpack
 
 CELLS = 4096
+BROADCAST_SOURCES = 100_000      # plans of so many sources are broadcast (one short row each)
 ADDED = ["size", "source_size", "target", "epochs", "taken"]
 
 
@@ -123,6 +124,8 @@ def mix(docs: DataFrame, size: Column, weight: Column, *, source: str = "source"
 
     plan = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
         F.col("p.source").alias("_source"), "source_size", "target", "epochs", "at", "part")
+    if plan.count() <= BROADCAST_SOURCES:          # beyond that, a join by source that Spark can split
+        plan = F.broadcast(plan)
     me = F.struct("key", "id", "size")
     extra = (F.when(me < F.col("at"), F.col("size")).when(me.eqNullSafe(F.col("at")), F.col("part"))
              .otherwise(F.lit(0).cast("long")))
