@@ -47,6 +47,25 @@ def test_expected_counts_spell_the_word():
     assert p.refit(into, 1.0).marginal("abab") > before
 
 
+def test_many_words_at_a_time_equal_one_by_one():
+    import numpy as np
+    p = small()
+    words = ["a", "ab", "abab", "baaba", "cab", "ébc", "漢", "", "b" * 70, "ab" * 40, "aé漢b", "abab"]
+    assert np.allclose(p.marginals(words), [p.marginal(w) for w in words], rtol=1e-12)
+    n = np.arange(1, len(words) + 1)
+    pieces, chars, want = np.zeros(len(p.names)), {}, {}
+    p.expect(words, n, pieces, chars)
+    for w, c in zip(words, n):
+        p.expected(w, float(c), want)
+    for name, v in zip(p.names, pieces):
+        assert math.isclose(v, want.get(name, 0.0), rel_tol=1e-9, abs_tol=1e-12)
+    got = Counter()
+    for c, v in chars.items():
+        for b in (lm._utf8(c) if c >= 0 else (-1 - c,)):
+            got[b] += v
+    assert {b: round(v, 6) for b, v in got.items()} == {b: round(v, 6) for b, v in want.items() if isinstance(b, int)}
+
+
 def test_against_brute_force(spark):
     rng = random.Random(2)
     low = {i: i + 32 for i in range(65, 91)}

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -29,10 +31,46 @@ from ticketlens.llm.common import Scratch
 
 MARK = "▁"                  # the vocabulary's sign for the start of a word
 HOT, HOT_BYTES = 500_000, 64     # bound of the broadcast: fewer than HOT words of at most HOT_BYTES bytes
-_FLUSH = 200_000                 # distinct words that a task holds before it passes their counts on
+_FLUSH = 250_000                 # distinct words that a task holds before it passes their counts on
+_LONG, _STRIDE = 48, 2048        # words above this length are taken one by one, others so many at a time
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 LN10 = math.log(10.0)
 
 
+def _utf8(code: int) -> bytes:
+    return chr(code).encode("utf-8", "surrogatepass")
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts of one length, a row each."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.reshape(len(texts), -1)
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Rolling hashes modulo 2**64 of every prefix of each row."""
+    h = np.zeros(codes.shape, np.uint64)
+    run = np.zeros(codes.shape[0], np.uint64)
+    for k in range(codes.shape[1]):
+        run = (run + codes[:, k] + np.uint64(1)) * _BASE
+        run = run ^ (run >> np.uint64(29))
+        h[:, k] = run
+    return h
+
+
+def _by_length(words: list[str]):
+    """(row numbers, code points behind the start mark) of words of one length; no code points for very long words."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else []:
+        if lengths[rows[0]] > _LONG:
+            yield rows, None
+            continue
+        for at in range(0, len(rows), _STRIDE):
+            part = rows[at:at + _STRIDE]
+            yield part, _codes([MARK + words[r] for r in part])
+
+
 class Pieces:
     """Log probabilities of pieces; characters without a piece are spelled in byte pieces."""
 
@@ -42,6 +80,16 @@ class Pieces:
         self.byte = [math.log(w / total) for w in byte_weights]
         self.end = math.log(end / total)
         self.longest = max(map(len, weights), default=1)
+        self.names = list(self.log)
+        self.number = {p: i for i, p in enumerate(self.names)}
+        hashes = np.array([int(_hashes(_codes([p]))[0, -1]) for p in self.names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], order
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two pieces have one hash")
+        self.filter = np.zeros(1 << 20, bool)                  # most substrings are no piece: one look tells
+        self.filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.logs = np.array([self.log[p] for p in self.names])
 
     @classmethod
     def from_file(cls, path: str, offset: float = 10.0) -> "Pieces":
@@ -113,6 +161,81 @@ class Pieces:
                     for x in text[i].encode("utf-8", "surrogatepass"):
                         into[x] = into.get(x, 0.0) + share
 
+    # -- many words of one length at a time
+
+    def _arcs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[start, length - 1, word]: log probability of the piece there (-inf: none) and its number (-1: bytes)."""
+        words, n = codes.shape
+        width = min(self.longest, n)
+        lp = np.full((n, width, words), -np.inf)
+        number = np.full((n, width, words), -1, np.int32)
+        for i in range(n):
+            h = _hashes(codes[:, i:i + width])
+            row, at = np.nonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
+            keys = h[row, at]
+            place = np.searchsorted(self.hashes, keys)
+            place[place == len(self.hashes)] = 0
+            hit = self.hashes[place] == keys
+            row, at, piece = row[hit], at[hit], self.ids[place[hit]]
+            lp[i, at, row] = self.logs[piece]
+            number[i, at, row] = piece
+            bare = np.flatnonzero(lp[i, 0] == -np.inf)
+            if len(bare):
+                chars, back = np.unique(codes[bare, i], return_inverse=True)
+                spelled = np.array([sum(self.byte[b] for b in _utf8(c)) for c in chars])
+                lp[i, 0, bare] = spelled[back]
+        return lp, number
+
+    def _forward(self, lp: np.ndarray) -> np.ndarray:
+        n, width, words = lp.shape
+        alpha = np.full((n + 1, words), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, n + 1):
+            for i in range(max(0, j - width), j):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + lp[i, j - i - 1])
+        return alpha
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """``marginal`` of every word."""
+        out = np.empty(len(words))
+        for rows, codes in _by_length(words):
+            if codes is None:
+                out[rows] = [self.marginal(words[r]) for r in rows]
+            else:
+                out[rows] = self._forward(self._arcs(codes)[0])[-1]
+        return out
+
+    def expect(self, words: list[str], counts: np.ndarray, pieces: np.ndarray, chars: dict) -> None:
+        """Add the expected counts of pieces by number, and of characters spelled in bytes by code point."""
+        for rows, codes in _by_length(words):
+            if codes is None:
+                for r in rows:
+                    into: dict = {}
+                    self.expected(words[r], float(counts[r]), into)
+                    for k, v in into.items():
+                        if isinstance(k, str):
+                            pieces[self.number[k]] += v
+                        else:
+                            chars[-1 - k] = chars.get(-1 - k, 0.0) + v
+                continue
+            lp, number = self._arcs(codes)
+            n, width, many = lp.shape
+            alpha = self._forward(lp)
+            beta = np.full((n + 1, many), -np.inf)
+            beta[n] = 0.0
+            scale = np.log(counts[rows].astype(float)) - alpha[n]
+            for i in range(n - 1, -1, -1):
+                for k in range(min(width, n - i)):
+                    arc = lp[i, k] + beta[i + k + 1]
+                    beta[i] = np.logaddexp(beta[i], arc)
+                    share = np.exp(alpha[i] + arc + scale)
+                    known = number[i, k] >= 0
+                    pieces += np.bincount(number[i, k][known], share[known], len(pieces))
+                    if k == 0 and not known.all():
+                        c, back = np.unique(codes[~known, i], return_inverse=True)
+                        for x, v in zip(c.tolist(), np.bincount(back, share[~known]).tolist()):
+                            chars[x] = chars.get(x, 0.0) + v
+
     def refit(self, counts: dict, ends: float, keep: float = 0.01) -> "Pieces":
         """New weights: expected counts, with ``keep`` of the old distribution mixed in."""
         total = sum(counts.values()) + ends
@@ -129,46 +252,52 @@ def held_out(id_: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def _count_words(batches):
     """(word, train, every): counts of a stretch of documents, split between training and all of them."""
-    train, every = Counter(), Counter()
+    train, held = Counter(), Counter()
 
     def table():
-        words = list(every)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64()),
-                                          pa.array(list(every.values()), pa.int64())], ["word", "train", "every"])
+        only = [w for w in held if w not in train]
+        n = list(train.values())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([*train, *only], pa.binary()), pa.array(n + [0] * len(only), pa.int64()),
+             pa.array([k + held.get(w, 0) for w, k in train.items()] + [held[w] for w in only], pa.int64())],
+            ["word", "train", "every"])
         train.clear()
-        every.clear()
+        held.clear()
         return out
 
     for b in batches:
-        for raw, held in zip(b.column(0), b.column(1)):
-            words = Counter(raw.as_py().lower().split())      # bytes: A-Z only, splits at \x20 and \x09-\x0D
-            every.update(words)
-            if not held.as_py():
-                train.update(words)
-            if len(every) > _FLUSH:
+        for raw, out in zip(b.column(0), b.column(1).to_pylist()):
+            # bytes: lower() takes A-Z only, split() splits at exactly \x20 and \x09-\x0D
+            (held if out else train).update(raw.as_py().lower().split())
+            if len(train) + len(held) > _FLUSH:
                 yield table()
-    if every:
+    if train or held:
         yield table()
 
 
 def _expect(shared):
     def run(batches):
-        into: dict = {}
+        model = shared.value
+        pieces, chars = np.zeros(len(model.names)), {}
         for b in batches:
-            for word, n in zip(b.column(0), b.column(1)):
-                shared.value.expected(word.as_py().decode("utf-8", "replace"), n.as_py(), into)
-        if into:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k if isinstance(k, str) else "" for k in into], pa.string()),
-                 pa.array([-1 if isinstance(k, str) else k for k in into], pa.int32()),
-                 pa.array(list(into.values()), pa.float64())], ["piece", "byte", "n"])
+            words = [w.as_py().decode("utf-8", "replace") for w in b.column(0)]
+            model.expect(words, np.asarray(b.column(1)), pieces, chars)
+        used = np.flatnonzero(pieces)
+        spelled: dict = {}
+        for c, v in chars.items():                       # below 0: a byte counted as such
+            for x in (_utf8(c) if c >= 0 else (-1 - c,)):
+                spelled[x] = spelled.get(x, 0.0) + v
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.names[i] for i in used] + [""] * len(spelled), pa.string()),
+             pa.array([-1] * len(used) + list(spelled), pa.int32()),
+             pa.array(pieces[used].tolist() + list(spelled.values()), pa.float64())], ["piece", "byte", "n"])
     return run
 
 
 def _marginals(shared):
     def run(batches):
         for b in batches:
-            lp = [shared.value.marginal(w.as_py().decode("utf-8", "replace")) / LN10 for w in b.column(0)]
+            lp = shared.value.marginals([w.as_py().decode("utf-8", "replace") for w in b.column(0)]) / LN10
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp, pa.float64())], [*b.schema.names, "lm"])
     return run
 
@@ -178,42 +307,42 @@ ROWS = "kind int, row long, n_tokens long, n_known long, base double, lm double,
 
 def _score_documents(shared):
     """Kind 0: a row per document with the sums over hot words; kind 1: its other words, counted."""
-    names = [x.split()[0] for x in ROWS.split(", ")]
+    names = [x.split()[0] for x in ROWS.split(", ")] + ["doc_id", "held_out"]
 
     def run(batches):
-        hot = shared.value
+        number, known, base, lm = shared.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            docs, rest, others = b.column(0), [], []
-            for raw in docs:
-                words = raw.as_py().lower().split()
-                known, base, lm = 0, 0.0, 0.0
-                for w, n in Counter(words).items():
-                    v = hot.get(w)
-                    if v is None:
-                        others.append((row, w, n))
-                    else:
-                        known += n * v[0]
-                        base += n * v[1]
-                        lm += n * v[2]
-                rest.append((row, len(words) + 1, known, base, lm))
-                row += 1
-            cols = list(zip(*rest))
-            n = len(rest)
-            if n:
-                nul = lambda t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                     pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()),
-                     nul(pa.binary()), nul(pa.int64()), b.column(1), b.column(2)], [*names, "doc_id", "held_out"])
-            for at in range(0, len(others), 100_000):
-                cols = list(zip(*others[at:at + 100_000]))
-                m = len(cols[0])
-                nul = lambda t: pa.nulls(m, t)
+            size = b.num_rows
+            if not size:
+                continue
+            sums, words, counts, owners = np.zeros((4, size)), [], [], []
+            for d, raw in enumerate(b.column(0)):
+                found = raw.as_py().lower().split()
+                c = Counter(found)
+                n = np.fromiter(c.values(), np.int64, len(c))
+                at = np.fromiter(map(number.get, c, repeat(-1)), np.int64, len(c))
+                hot = at >= 0
+                at, m = at[hot], n[hot]
+                sums[:, d] = len(found) + 1, m @ known[at], m @ base[at], m @ lm[at]
+                rare = ~hot
+                words += compress(c, rare)
+                counts.append(n[rare])
+                owners.append(np.full(len(c) - len(at), row + d))
+            none = lambda t, k=size: pa.nulls(k, t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(size, np.int32)), pa.array(np.arange(row, row + size)), pa.array(sums[0].astype(np.int64)),
+                 pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), none(pa.binary()), none(pa.int64()),
+                 b.column(1), b.column(2)], names)
+            row += size
+            counts, owners = np.concatenate(counts), np.concatenate(owners)
+            for i in range(0, len(words), 100_000):
+                part = words[i:i + 100_000]
+                k = len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([1] * m, pa.int32()), pa.array(cols[0], pa.int64()), nul(pa.int64()), nul(pa.int64()),
-                     nul(pa.float64()), nul(pa.float64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
-                     nul(b.column(1).type), nul(pa.bool_())], [*names, "doc_id", "held_out"])
+                    [pa.array(np.ones(k, np.int32)), pa.array(owners[i:i + k]), none(pa.int64(), k), none(pa.int64(), k),
+                     none(pa.float64(), k), none(pa.float64(), k), pa.array(part, pa.binary()), pa.array(counts[i:i + k]),
+                     none(b.column(1).type, k), none(pa.bool_(), k)], names)
     return run
 
 
@@ -253,8 +382,8 @@ def score(docs: DataFrame, *, vocabulary: str = "/opt/tokenizers/piece_bpe_32k.m
                            .withColumn("base", base).withColumn("known", (F.col("train") > 0).cast("long")), "values")
     # fewer than HOT words can each make up more than 1 / HOT of all words
     hot_if = (F.col("every") > (n_every or 0) / HOT) & (F.octet_length("word") <= HOT_BYTES)
-    hot = {bytes(r["word"]): (r["known"], r["base"], r["lm"])
-           for r in values.where(hot_if).select("word", "known", "base", "lm").toLocalIterator()}
+    hot = values.where(hot_if).select("word", "known", "base", "lm").toArrow()
+    hot = ({w: i for i, w in enumerate(hot["word"].to_pylist())}, *[hot[c].to_numpy() for c in ("known", "base", "lm")])
     id_type = d.schema["doc_id"].dataType.simpleString()
     rows = scratch.write(d.mapInArrow(_score_documents(sc.broadcast(hot)), f"{ROWS}, doc_id {id_type}, held_out boolean"), "rows")
     rare = (rows.where("kind = 1").select("row", "word", "n")
