@@ -51,10 +51,11 @@ def test_ranks_are_suffix_array_intervals(spark):
     seq = [random.Random(2).choice("abc") for _ in range(80)]
     lines = spark.createDataFrame([(g, s) for g, s in enumerate(seq)], "g long, s string").select(
         "g", F.ascii("s").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    active = line_dedup.first_ranks(Scratch(spark, "t"), lines)
+    scratch = Scratch(spark, "t")
+    active = line_dedup.first_ranks(scratch, lines)
     for depth in (1, 2, 4):
         if depth > 1:
-            active = line_dedup.double(active, depth // 2)
+            active = line_dedup.double(scratch, active, depth // 2)
         prefix = {g: "".join(seq[g:g + depth]) for g in range(len(seq) - depth + 1)}
         twice = {g: p for g, p in prefix.items() if list(prefix.values()).count(p) > 1}
         got = {r.g: r.r for r in active.collect()}

@@ -6,7 +6,7 @@ the left bound of its interval in the suffix array, so equal ranks mean equal
 prefixes of 2**k lines, and (rank, size, depth) is a longest-common-prefix
 interval.  A round pairs rank(g) with rank(g + 2**k); only suffixes whose prefix
 occurs twice go on.  The rank inside an old interval is its left bound plus the
-count of suffixes with a smaller second rank, a running sum over distinct pairs.
+count of suffixes with a smaller second rank, a prefix sum over distinct pairs.
 
 A run counts as repeated when it holds ``min_words`` words or more; in each
 interval of such runs every suffix but the first in document order is a later
@@ -44,17 +44,23 @@ def sequences(docs: DataFrame, text: Column, id_col: Column) -> DataFrame:
 def first_ranks(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """(g, r): r is the interval of each line that occurs twice or more, in line-id order."""
     ids = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranks = prefix_sums(scratch, ids, ["a", "b"], F.col("size"), "r")
+    ranks = prefix_sums(scratch, scratch.write(ids, "ids"), ["a", "b"], F.col("size"), "r")
     return lines.select("g", "a", "b").join(ranks.select("a", "b", "r"), ["a", "b"]).select("g", "r")
 
 
-def double(active: DataFrame, depth: int) -> DataFrame:
-    """Ranks at depth 2 * ``depth`` from those at ``depth``; suffixes that became unique leave."""
+def double(scratch: Scratch, active: DataFrame, depth: int) -> DataFrame:
+    """Ranks at depth 2 * ``depth`` from those at ``depth``; suffixes that became unique leave.
+
+    Sizes are summed over all pairs in (r, r2) order, and each interval's own start
+    is taken off, so one with very many continuations needs no task of its own.
+    """
     ahead = active.select((F.col("g") - depth).alias("g"), F.col("r").alias("r2"))
     pairs = active.join(ahead, "g")
     groups = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    before = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("lb", F.col("r") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # written before the range split, whose sampling would compute the pairs again
+    placed = prefix_sums(scratch, scratch.write(groups, "groups"), ["r", "r2"], F.col("size"), "before")
+    start = placed.groupBy("r").agg(F.min("before").alias("start"))
+    groups = placed.join(start, "r").withColumn("lb", F.col("r") + F.col("before") - F.col("start"))
     return pairs.join(groups.select("r", "r2", "lb"), ["r", "r2"]).select("g", F.col("lb").alias("r"))
 
 
@@ -85,7 +91,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     scratch = Scratch(spark, "lines")
     seq = sequences(docs, docs[text], docs[id_col]).groupBy("id", "h").agg(F.first("lines").alias("lines"))
     filled = F.size(F.filter("lines", lambda x: x["words"] > 0))
-    seq = prefix_sums(scratch, seq, [F.col("id").asc_nulls_last(), "h"], filled + 1, "base")
+    seq = prefix_sums(scratch, scratch.write(seq, "sequences"), [F.col("id").asc_nulls_last(), "h"], filled + 1, "base")
     every = seq.select("id", "h", "base", F.posexplode("lines").alias("pos", "x")).select(
         "id", "h", "base", "pos", "x.a", "x.b", "x.words")
     nth = Window.partitionBy("base").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +104,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     depth = 1
     while depth <= min_words:
         if depth > 1:
-            active = scratch.write(double(active, depth // 2), f"rank{depth}")
+            active = scratch.write(double(scratch, active, depth // 2), f"rank{depth}")
         here = mins.where((F.col("l") >= depth) & (F.col("l") < 2 * depth)).join(active.withColumnRenamed("r", "r1"), "g")
         if depth == 1:
             here = here.withColumn("r2", F.lit(0).cast("long"))
