@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ class Scratch:
     """Tables written under the session's ``spark.checkpoint.dir``.
 
     ``write`` cuts the lineage: a lost executor loses nothing that a later
-    stage needs.  ``drop`` deletes tables that only finished jobs read.
+    stage needs.  ``drop`` deletes tables that only finished jobs read; what is
+    left when Python exits is deleted then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _bases.append(self.base)
         self.paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
@@ -45,13 +49,22 @@ class Scratch:
         for df in frames:
             path = self.paths.pop(id(df), None)
             if path:
-                delete(self.spark, path)
+                delete(self.spark.sparkContext, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def delete(sc: SparkContext, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_all() -> None:
+    if SparkContext._active_spark_context is not None:
+        while _bases:
+            delete(SparkContext._active_spark_context, _bases.pop())
+
+
+_bases: list[str] = []
+atexit.register(_delete_all)
 
 
 def prefix_sums(scratch: Scratch, df: DataFrame, order: list, weight: Column, out: str) -> DataFrame:
