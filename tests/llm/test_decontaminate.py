@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from ticketlens.llm import decontaminate as dc
 from tests.llm.frames import no_docs, odd_docs, prose
 
@@ -52,10 +50,9 @@ def test_reordered_and_partial_passages(spark):
     assert set(got) == {(0, 7), (1, 7), (6, 7)}
     assert got[0, 7].coverage == 1.0 and got[1, 7].tiles == 2 and got[6, 7].tiles == 1
     assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 5, 7]
-    many = dc.blocks(bench, "text", "item_id", 5, block_words=30)
-    assert len(many) > 1
-    rows = docs.select("doc_id", F.explode(dc.matches(F.col("text"), many, spark, 0.6)).alias("m")).select("doc_id", "m.item_id").collect()
-    assert {tuple(r) for r in rows} == set(got)
+    assert len(list(dc.blocks(bench, "text", "item_id", 5, block_words=30))) > 1
+    assert {(r.doc_id, r.item_id) for r in dc.contamination(docs, bench, block_words=30).collect()} == set(got)
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench, block_words=30).collect()) == [2, 3, 4, 5, 7]
 
 
 def test_odd_rows(spark):

@@ -9,21 +9,25 @@ of ``min_match`` words is left.  The share of the item's words under tiles is it
 coverage, however the passages are ordered in the document.
 
 The items are the stated query set: they are matched in blocks of at most
-``BLOCK_WORDS`` words, and one block at a time is broadcast; every block meets
-every document inside its own scan, so no text is shuffled.
+``BLOCK_WORDS`` words.  One block at a time is read, broadcast and held against
+every document inside one scan, so no text is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.llm.common import Scratch
+
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)          # odd: the rolling hash is taken modulo 2**64
@@ -134,42 +138,35 @@ def tile(runs: list[tuple[int, int, int]], length: int, k: int) -> tuple[int, in
     return int(item.sum()), tiles
 
 
-def blocks(benchmark: DataFrame, text: str, id_col: str, k: int, block_words: int = BLOCK_WORDS) -> list[Block]:
-    """The items in blocks of bounded size; an item that is longer than a block is a block of its own."""
+def blocks(benchmark: DataFrame, text: str, id_col: str, k: int, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The items in blocks of bounded size, one at a time; an item that is longer than a block is one of its own."""
     rows = benchmark.select(benchmark[id_col].cast("long").alias("id"), F.encode(F.coalesce(benchmark[text], F.lit("")), "UTF-8").alias("raw"))
-    out, held, size = [], [], 0
+    held, size = [], 0
     for r in rows.orderBy("id", "raw").toLocalIterator():
         n = len(words_of(bytes(r["raw"])))
         if held and size + n > block_words:
-            out.append(Block(held, k))
+            yield Block(held, k)
             held, size = [], 0
         held.append((r["id"], bytes(r["raw"])))
         size += n
-    return [*out, Block(held, k)] if held else out
-
+    if held:
+        yield Block(held, k)
 
-def _matcher(spark, block: Block, threshold: float):
-    shared = spark.sparkContext.broadcast(block)        # at most BLOCK_WORDS words
 
+def matches(text: Column, shared: Broadcast, threshold: float) -> Column:
+    """Array of the items of one broadcast block that a text holds; a null or empty text holds none."""
     @F.arrow_udf(MATCH)
     def udf(raw: pa.Array) -> pa.Array:
         b = shared.value
         names = ("item_id", "item_words", "matched", "tiles")
         return pa.array([[dict(zip(names, m)) for m in b.matches(x.as_py(), threshold)] for x in raw],
                         pa.list_(pa.struct([(n, pa.int64()) for n in names])))
-    return udf
-
-
-def matches(text: Column, found: list[Block], spark, threshold: float) -> Column:
-    """Array of matched items per text, over all blocks; a null or empty text matches nothing."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    cols = [_matcher(spark, b, threshold)(raw) for b in found]
-    return F.concat(*cols) if cols else F.lit(None).cast("array<struct<item_id:long,item_words:long,matched:long,tiles:long>>")
+    return udf(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                   item_text: str = "text", item_id: str = "item_id", min_match: int = 5,
-                  threshold: float = 0.6) -> DataFrame:
+                  threshold: float = 0.6, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, item_words, matched, tiles, coverage.
 
     Defined cases: null texts count as empty; items of fewer than ``min_match``
@@ -177,14 +174,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     their own; null ids are passed on; other columns are ignored; with either
     table empty the result is empty.
     """
-    spark = docs.sparkSession
-    found = matches(docs[text], blocks(benchmark, item_text, item_id, min_match), spark, threshold)
-    rows = docs.select(docs[id_col].alias("doc_id"), F.explode(found).alias("m"))
-    return rows.select("doc_id", "m.*", (F.col("m.matched") / F.col("m.item_words")).alias("coverage"))
+    sc, scratch, out = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "items"), None
+    for block, last in _with_last(blocks(benchmark, item_text, item_id, min_match, block_words)):
+        shared = sc.broadcast(block)
+        rows = docs.select(docs[id_col].alias("doc_id"), F.explode(matches(docs[text], shared, threshold)).alias("m"))
+        rows = rows.select("doc_id", "m.*", (F.col("m.matched") / F.col("m.item_words")).alias("coverage"))
+        if not last:                       # written before the next block takes its place
+            rows = scratch.write(rows, "matches")
+            shared.unpersist()
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        out = docs.where(F.lit(False)).select(docs[id_col].alias("doc_id"), *[
+            F.lit(None).cast("long").alias(c) for c in ("item_id", "item_words", "matched", "tiles")], F.lit(0.0).alias("coverage"))
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text",
-                      item_id: str = "item_id", min_match: int = 5, threshold: float = 0.6) -> DataFrame:
+                      item_id: str = "item_id", min_match: int = 5, threshold: float = 0.6,
+                      block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no test item; defined cases as in ``contamination``."""
-    found = matches(docs[text], blocks(benchmark, item_text, item_id, min_match), docs.sparkSession, threshold)
-    return docs.where(F.coalesce(F.size(found), F.lit(0)) <= 0)
+    sc, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "clean")
+    for block, last in _with_last(blocks(benchmark, item_text, item_id, min_match, block_words)):
+        shared = sc.broadcast(block)
+        kept = docs.where(F.size(matches(docs[text], shared, threshold)) == 0)
+        if not last:
+            kept = scratch.write(kept, "kept")
+            scratch.drop(docs)
+            shared.unpersist()
+        docs = kept
+    return docs
+
+
+def _with_last(items):
+    """(item, whether it is the last) of an iterator."""
+    ahead = next(items, None)
+    while ahead is not None:
+        item, ahead = ahead, next(items, None)
+        yield item, ahead is None
