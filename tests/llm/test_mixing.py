@@ -75,6 +75,10 @@ def test_odd_rows(spark):
     same = [r.taken for r in rows if r.text and r.text.startswith("One two")]
     assert len(same) == 2 and same[0] == same[1]
     assert mixed(no_docs(spark)).collect() == []
+    few = mixing.mix(docs, mixing.word_count(docs["text"]), mixing.quality_weight(docs["text"]), columns=["doc_id", "lang"])
+    assert few.columns == ["doc_id", "lang", *mixing.ADDED]
+    pairs = lambda d: sorted((str(r.doc_id), r.size, r.taken) for r in d)
+    assert pairs(few.collect()) == pairs(rows)
     weightless = mixing.mix(docs, mixing.word_count(docs["text"]), F.lit(0.0)).collect()
     assert len(weightless) == len(rows)
 

@@ -83,9 +83,14 @@ def _cut_cell(rows: DataFrame, plan: DataFrame, cell: Column) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column, weight: Column, *, source: str = "source", id_col: str = "doc_id",
-        source_weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+        source_weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7,
+        columns: list[str] | None = None) -> DataFrame:
     """``docs`` plus size, source_size, target, epochs and taken (words the mix takes, repeats counted).
 
+    With ``columns`` only these input columns come back: they are written beside
+    the keys, and the texts are read once.  Otherwise sizes and keys are computed
+    again in a second scan, which costs less than writing the texts.
+
     Defined cases: a null source is a source of its own (ordered last); an
     empty or null text has size 0 and takes 0; a source without words has
     target 0; a null id hashes like an empty one and orders first; rows that tie
@@ -97,7 +102,12 @@ def mix(docs: DataFrame, size: Column, weight: Column, *, source: str = "source"
     scratch = Scratch(spark, "mix")
     base = pack(docs, source=docs[source], id=docs[id_col], size=size,
                 key=exponential_key(docs[id_col], weight, seed))
-    rows = scratch.write(base.select("source", "id", "size", "key"), "rows")
+    if columns is None:
+        columns, rows = docs.columns, scratch.write(base.select("source", "id", "size", "key"), "rows")
+    else:
+        keep = F.struct(*[F.col("_row").getField(c).alias(c) for c in columns])
+        base = scratch.write(base.withColumn("_row", keep), "rows")
+        rows = base.select("source", "id", "size", "key")
     plan = scratch.write(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")),
                                  source_weights, share, cap), "plan")
 
@@ -131,4 +141,4 @@ def mix(docs: DataFrame, size: Column, weight: Column, *, source: str = "source"
              .otherwise(F.lit(0).cast("long")))
     out = (base.join(plan, F.col("source").eqNullSafe(F.col("_source")))
            .withColumn("taken", F.col("epochs") * F.col("size") + extra))
-    return unpack(out, docs.columns, ADDED)
+    return unpack(out, columns, ADDED)

@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs, mixing.word_count(docs["text"]), mixing.quality_weight(docs["text"]))
+    out = mixing.mix(docs, mixing.word_count(docs["text"]), mixing.quality_weight(docs["text"]),
+                     columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "epochs")
 
 
