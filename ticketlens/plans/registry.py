@@ -715,7 +715,7 @@ CSAT_TRAIN_ROWS = 5_000         # documented bound of the satisfaction fits, who
 def _delay_cross_validation(spark, sf_dir):
     """Five stratified folds of the logistic model on the delay target: mean and deviation of the AUC."""
     data = _delay_models(spark, sf_dir)[0]
-    r = train_model(data.train, data.test, "logistic_regression", cv=5, max_iter=25)
+    r = train_model(data.train, data.test, "logistic_regression", cv=5)
     return spark.createDataFrame([(5, round(r.cv_metric_mean, 6), round(r.cv_metric_std, 6))], "folds int, auc_mean double, auc_std double")
 
 
@@ -723,7 +723,7 @@ def _delay_cross_validation(spark, sf_dir):
 def _delay_grid_search(spark, sf_dir):
     """The logistic model's whole grid (8 points, five stratified folds) on the delay target."""
     data = _delay_models(spark, sf_dir)[0]
-    r = train_model(data.train, data.test, "logistic_regression", tune=True, cv=5, max_iter=25)
+    r = train_model(data.train, data.test, "logistic_regression", tune=True, cv=5)
     return spark.createDataFrame([(float(r.best_params["regParam"]), float(r.best_params["elasticNetParam"]), round(r.cv_metric_mean, 6))],
                                  "reg_param double, elastic_net double, auc_mean double")
 
