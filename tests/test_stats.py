@@ -71,3 +71,14 @@ def test_correlation_leaves_nan_out(spark):
     got = {(r.feature_x, r.feature_y): r.correlation for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
     want = df.toPandas().corr()
     assert all(abs(got[i, j] - want.loc[i, j]) < 1e-9 for i in "abc" for j in "abc")
+
+
+def test_histograms_deal_their_bins_over_tasks(spark):
+    """Bins of all columns come from one range, not from an array per column, and equal those of single histograms."""
+    from ticketlens.operators.stats import histograms
+    df = spark.createDataFrame([(float(i % 97), float(i * i), None) for i in range(500)], "a double, b double, c double")
+    out = histograms(df, ["a", "c", "b"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "Range (0, " in plan
+    got = {(r.column_name, r.bin): tuple(r)[2:] for r in out.collect()}
+    assert got == {(c, r.bin): tuple(r)[1:] for c in "ab" for r in histogram(df, c).collect()}

@@ -98,14 +98,18 @@ def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
                             F.struct(F.lit(c).alias("column_name"), idx.alias("bin"))))
     counts = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("p"))
               .groupBy("p.column_name", "p.bin").agg(F.count(F.lit(1)).alias("count")))
-    # every bin of every column, so that empty bins show 0; made by the cluster, as a
-    # heavy tail can ask for millions of bins
-    grid = spark.createDataFrame([(c, first, last, bins) for c, (first, last, bins) in specs.items()],
-                                 "column_name string, first double, last double, bins long")
-    width = (F.col("last") - F.col("first")) / F.col("bins")
-    grid = (grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("b"))
-            .select("column_name", F.col("b").cast("int").alias("bin"), (F.col("first") + F.col("b") * width).alias("bin_start"),
-                    (F.col("first") + (F.col("b") + 1) * width).alias("bin_end")))
+    # every bin of every column, so that empty bins show 0: one range over the summed
+    # bins, each column from its offset, as a heavy tail can ask for millions of bins
+    at, offsets, i = 0, [], F.lit(-1)
+    for c, (first, last, bins) in specs.items():
+        offsets.append(F.struct(F.lit(c).alias("column_name"), F.lit(first).alias("first"), F.lit(last).alias("last"),
+                                F.lit(bins).cast("long").alias("bins"), F.lit(at).cast("long").alias("at")))
+        i = i + (F.col("id") >= F.lit(at)).cast("int")
+        at += bins
+    width = (F.col("s.last") - F.col("s.first")) / F.col("s.bins")
+    grid = spark.range(at).withColumn("s", F.array(*offsets)[i]).withColumn("b", F.col("id") - F.col("s.at"))
+    grid = grid.select("s.column_name", F.col("b").cast("int").alias("bin"), (F.col("s.first") + F.col("b") * width).alias("bin_start"),
+                       (F.col("s.first") + (F.col("b") + 1) * width).alias("bin_end"))
     return (grid.join(counts, ["column_name", "bin"], "left")
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 
