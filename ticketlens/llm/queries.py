@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import (chat, decontaminate, lattice_lm, license_scan, line_dedup, mixing, quality, simhash,
-                            url_reputation, warc)
+from ticketlens.llm import (chat, collocations, decontaminate, language_id, lattice_lm, license_scan, line_dedup, mixing,
+                            quality, simhash, url_reputation, warc, whitening)
 from ticketlens.llm.common import Scratch
 from ticketlens.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -81,7 +81,23 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=10, inside_percent=50, top=2_000)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per embedding and whitening component (16 at most)."""
+    out, _ = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64.0, offset=1_000_000, components=16)
+    return whitening.component_rows(out)
+
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_chat_formatting": op2_chat_formatting, "op3_quality_rules": op3_quality_rules,
            "op4_line_dedup": op4_line_dedup, "op5_warc_revisits": op5_warc_revisits, "op6_license_scan": op6_license_scan,
            "op7_url_filter": op7_url_filter, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination,
-           "op10_lattice_lm": op10_lattice_lm}
+           "op10_lattice_lm": op10_lattice_lm, "op11_language_id": op11_language_id, "op12_collocations": op12_collocations,
+           "op13_whitening": op13_whitening}

@@ -95,4 +95,28 @@ SELECT page_id, r.host, path, hit.rule AS rule,
        n_labelled, round(posterior, 6) AS posterior, round(upper_bound, 6) AS upper_bound FROM r JOIN h4 ON r.host = h4.host
 """
 
-ORACLE_SQL = {"op1_mixing": OP1, "op2_chat_formatting": OP2, "op5_warc_revisits": OP5, "op7_url_filter": OP7}
+OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM s
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM s
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM s),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+inner2 AS (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner2 GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a),
+cuts AS (SELECT lang, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM kept
+         UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE k = 3),
+v AS (SELECT cuts.*, fx.f AS l, fy.f AS r, (1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f) AS score
+      FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT b.*, n.n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b JOIN n ON n.lang = b.lang)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score, cut::BIGINT AS cut
+FROM o WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1, "op2_chat_formatting": OP2, "op5_warc_revisits": OP5, "op7_url_filter": OP7,
+              "op12_collocations": OP12}
