@@ -34,6 +34,7 @@ class Scratch:
         self.base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _bases.append(self.base)
         self.paths: dict[int, str] = {}
+        self._frames: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -43,6 +44,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self._frames.append(out)              # an id stays taken as long as its path is known
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -51,6 +53,12 @@ class Scratch:
             if path:
                 delete(self.spark.sparkContext, path)
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete every table of this scratch space but those of ``frames``; nothing may read the others afterwards."""
+        kept = {id(df) for df in frames}
+        for key in [k for k in self.paths if k not in kept]:
+            delete(self.spark.sparkContext, self.paths.pop(key))
+
 
 def delete(sc: SparkContext, path: str) -> None:
     p = sc._jvm.org.apache.hadoop.fs.Path(path)

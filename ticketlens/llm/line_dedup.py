@@ -18,19 +18,22 @@ are no part of the sequence), which bounds the doubling; its interval at any
 depth l is named by the ranks at 2**k of its two ends, 2**k <= l < 2**(k+1).
 Overlapping windows merge into the maximal runs.
 
-Every round shuffles rows of two or three integers of repeated lines only; a
+Each table is deleted as soon as its successor is written.  Every round shuffles rows of two or three integers of repeated lines only; a
 line found in a third of all rows is counted before it is shuffled, and later
 copies are found by an anti-join on positions, which no line can skew.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import Scratch, WORD, pack, prefix_sums, unpack
 
 ADDED = ["n_lines", "n_deleted", "n_runs", "longest_run"]
+BUCKETS = 1 << 20           # text hash buckets of changed documents: at most so many integers are broadcast
 
 
 def sequences(docs: DataFrame, text: Column, id_col: Column) -> DataFrame:
@@ -97,23 +100,26 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     nth = Window.partitionBy("base").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumn("o", F.sum((F.col("words") > 0).cast("long")).over(nth) - 1)
     every = scratch.write(every.withColumn("g", F.when(F.col("words") > 0, F.col("base") + F.col("o"))), "lines")
+    scratch.keep_only(every)
     lines = every.where("g is not null")
 
-    active, found = scratch.write(first_ranks(scratch, lines), "rank0"), None
     mins = scratch.write(windows(lines, min_words), "windows")
+    active, found = scratch.write(first_ranks(scratch, lines), "rank0"), []
     depth = 1
     while depth <= min_words:
         if depth > 1:
             active = scratch.write(double(scratch, active, depth // 2), f"rank{depth}")
+        scratch.keep_only(every, mins, active, *found)
         here = mins.where((F.col("l") >= depth) & (F.col("l") < 2 * depth)).join(active.withColumnRenamed("r", "r1"), "g")
         if depth == 1:
             here = here.withColumn("r2", F.lit(0).cast("long"))
         else:
             end = here.withColumn("e", F.col("g") + F.col("l") - depth)
             here = end.join(active.select(F.col("g").alias("e"), F.col("r").alias("r2")), "e").select("g", "l", "r1", "r2")
-        found = here if found is None else found.unionByName(here)
+        found.append(scratch.write(here, f"intervals{depth}"))
         depth *= 2
-    found = scratch.write(found, "intervals")
+    scratch.keep_only(every, *found)
+    found = reduce(DataFrame.unionByName, found)
     firsts = found.groupBy("l", "r1", "r2").agg(F.min("g").alias("g")).select("g", "l")
     later = found.join(firsts, ["g", "l"], "left_anti")
     gone = later.select(F.explode(F.sequence("g", F.col("g") + F.col("l") - 1)).alias("g")).distinct().withColumn("gone", F.lit(True))
@@ -132,9 +138,16 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                         F.when(x["gone"], a["at"] + 1).otherwise(0).alias("at"),
                         F.greatest(a["longest"], F.when(x["gone"], a["at"] + 1).otherwise(0)).alias("longest"))).alias("r"))
     flags = scratch.write(flags, "flags")
-
-    rows = pack(docs, id=docs[id_col], h=F.xxhash64(docs[text]))
-    rows = rows.join(flags, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    scratch.keep_only(flags)
+
+    # texts of documents that lose no line stay where they are: only those whose hash shares a bucket with a changed one are joined
+    bucket = lambda h: F.pmod(F.col(h), F.lit(BUCKETS)).cast("int")
+    changed = F.broadcast(flags.select(bucket("_h").alias("_b")).distinct())
+    rows = pack(docs, id=docs[id_col], h=F.xxhash64(docs[text])).withColumn("_at", bucket("h"))
+    near = rows.join(changed, F.col("_at") == F.col("_b"), "left_semi")
+    far = rows.join(changed, F.col("_at") == F.col("_b"), "left_anti")
+    near = near.join(flags, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    rows = near.unionByName(far.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in flags.schema]))
     old = F.col("_row").getField(text)
     kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.col("gone")[i]), "\n")
     rows = rows.select(
