@@ -26,6 +26,7 @@ from ticketlens.operators.features import add_csat_features
 from ticketlens.plans.pipelines import delay_stages
 from ticketlens.plans import sql_twins as TW
 from ticketlens.plans.sql_twins import ENCODED_COLS, with_stage
+from ticketlens.session import materialize, release
 from ticketlens.sources.tickets import tickets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +583,7 @@ def _roc_auc(spark, sf_dir):
 
 # ---------------------------------------------------------------- model data, prepared
 from ticketlens.ml.compare import best_model, comparison_table, melt, rank_by_accuracy  # noqa: E402
+from ticketlens.ml.folds import fold_statistics, with_folds  # noqa: E402
 from ticketlens.ml.prep import fit_categorical_fill, fit_numeric_prep, fill_stage, one_hot_stages  # noqa: E402
 
 _NUM, _TXT = ["item_price", "connected_handling_time", "response_time_minutes"], ["category", "sub_category", "customer_city"]
@@ -608,6 +610,19 @@ def _with_gaps(spark, sf_dir):
     return drop_duplicate_rows(add_response_time(convert_datetimes(raw(spark, sf_dir))))
 
 
+@register("fold_statistics", rounded_sql(with_stage("dedup", " UNION ALL ".join(
+    f"SELECT {f} AS fold, '{c}' AS feature, any_value(m) AS median, avg(coalesce({c}, m)) AS mean, stddev_pop(coalesce({c}, m)) AS deviation "
+    f"FROM dealt, (SELECT quantile_cont({c}, 0.5) AS m FROM dealt WHERE fold <> {f}) WHERE fold <> {f}" for f in range(5) for c in _NUM), """
+dealt AS (SELECT *, CAST((row_number() OVER (PARTITION BY csat_score ORDER BY md5(unique_id), unique_id) - 1) % 5 AS INTEGER) AS fold FROM dedup)"""),
+    ["median", "mean", "deviation"]))
+def _fold_statistics(spark, sf_dir):
+    """M3, M5 inside M14: medians, means and deviations that a preparation refitted without each of five stratified folds has."""
+    dealt = materialize(with_folds(_with_gaps(spark, sf_dir).select(S.UNIQUE_ID, S.CSAT, *_NUM), 5, S.UNIQUE_ID, S.CSAT), "fold_statistics")
+    out = fold_statistics(dealt, _NUM, 5)
+    release(dealt)
+    return out
+
+
 _onehot = " UNION ALL ".join(
     f"SELECT '{c}_' || v AS feature, CAST(count_if(coalesce({c}, f.{c}_mode) = v) AS DOUBLE) AS ones "
     f"FROM dedup, fills f, (SELECT DISTINCT coalesce({c}, (SELECT {c}_mode FROM fills)) AS v FROM part) GROUP BY v" for c in _TXT)
@@ -672,16 +687,25 @@ def _scorer_comparison_long(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models (no SQL twin: fitted models)
-from ticketlens.ml.train import feature_importance, train_model  # noqa: E402
+from ticketlens.ml.train import feature_importance, tune_logistic  # noqa: E402
 from ticketlens.plans import models as MD  # noqa: E402
 
+_DATA_CACHE: dict[int, tuple] = {}       # training data by the stages it comes from; one entry
 _MODEL_CACHE: dict[int, tuple] = {}      # by the stages they were fitted on; one entry
 
 
+def _delay_data(spark, sf_dir):
+    st = delay_stages(spark, sf_dir)
+    if id(st) not in _DATA_CACHE:
+        _DATA_CACHE.clear()
+        _DATA_CACHE[id(st)] = (MD.prepare_training_data(st.featured, st.info), st)
+    return _DATA_CACHE[id(st)][0]
+
+
 def _delay_models(spark, sf_dir):
     st = delay_stages(spark, sf_dir)
     if id(st) not in _MODEL_CACHE:
-        data = MD.prepare_training_data(st.featured, st.info)
+        data = _delay_data(spark, sf_dir)
         _MODEL_CACHE.clear()
         _MODEL_CACHE[id(st)] = (data, *MD.run_delay_models(data, tune=False, cv=0), st)
     return _MODEL_CACHE[id(st)][:4]
@@ -711,21 +735,25 @@ def _delay_feature_importance(spark, sf_dir):
 CSAT_TRAIN_ROWS = {"random_forest": 5_000}      # documented bound of the forest alone, whose unlimited trees grow with its rows
 
 
+def _tuned_logistic(spark, sf_dir, tune):
+    data = _delay_data(spark, sf_dir)
+    return tune_logistic(data.logistic_table(5), len(data.feature_names), data.test, tune=tune, cv=5)
+
+
 @register("delay_cross_validation")
 def _delay_cross_validation(spark, sf_dir):
     """Five stratified folds of the logistic model on the delay target: mean and deviation of the AUC."""
-    data = _delay_models(spark, sf_dir)[0]
-    r = train_model(data.train, data.test, "logistic_regression", cv=5)
-    return spark.createDataFrame([(5, round(r.cv_metric_mean, 6), round(r.cv_metric_std, 6))], "folds int, auc_mean double, auc_std double")
+    r = _tuned_logistic(spark, sf_dir, False)
+    return spark.createDataFrame([(5, r.cv_metric_mean, r.cv_metric_std)], "folds int, auc_mean double, auc_std double")
 
 
 @register("delay_grid_search")
 def _delay_grid_search(spark, sf_dir):
-    """The logistic model's whole grid (8 points, five stratified folds) on the delay target."""
-    data = _delay_models(spark, sf_dir)[0]
-    r = train_model(data.train, data.test, "logistic_regression", tune=True, cv=5)
-    return spark.createDataFrame([(float(r.best_params["regParam"]), float(r.best_params["elasticNetParam"]), round(r.cv_metric_mean, 6))],
-                                 "reg_param double, elastic_net double, auc_mean double")
+    """The logistic model's whole grid (16 points, five stratified folds) on the delay target, every point ranked."""
+    found = _tuned_logistic(spark, sf_dir, True).search
+    order = sorted(range(len(found.points)), key=lambda i: (-found.mean(i), i))
+    rows = [(p["C"], p["penalty"], p["solver"], found.mean(i), found.std(i), order.index(i) + 1) for i, p in enumerate(found.points)]
+    return spark.createDataFrame(rows, "C double, penalty string, solver string, auc_mean double, auc_std double, rank int")
 
 
 @register("csat_model_ranking")
