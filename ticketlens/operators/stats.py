@@ -128,12 +128,14 @@ def _column_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
 KDE_SCHEMA = "column_name string, point int, x double, density double, curve double"
 
 
-def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS) -> DataFrame:
+def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS,
+         curve: bool = True) -> DataFrame:
     """(column_name, point, x, density, curve) of Gaussian KDEs with Scott's bandwidth, as drawn over histograms.
 
     Bandwidth = sample std * n^(-1/5); ``grid_size`` points from min - cut*bw to
     max + cut*bw (the drawn curve has cut 0).  ``curve`` is the density on the
-    count axis: density * n * width of the automatic histogram bins.
+    count axis: density * n * width of the automatic histogram bins, whose exact
+    quartiles take a few passes; ``curve=False`` saves them and leaves it null.
 
     Rows are gathered into cells of bandwidth / ``cells``; a cell acts through its
     count, mean and variance (second-order expansion of the kernel), and only
@@ -145,15 +147,17 @@ def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float =
     live = [c for c in cols if stats[c][0] and stats[c][3]]
     if not live:
         return spark.createDataFrame([], KDE_SCHEMA)
-    quart = exact_quantiles(df, live, [0.25, 0.75])
+    quart = exact_quantiles(df, live, [0.25, 0.75]) if curve else {}
     specs = []
     for c in live:
         n, lo, hi, sd = stats[c]
         bw = sd * n ** (-0.2)
-        first, last, bins = auto_bins(n, lo, hi, *quart[c])
+        scale = None
+        if curve:
+            first, last, bins = auto_bins(n, lo, hi, *quart[c])
+            scale = n * (last - first) / bins
         g0 = lo - cut * bw
-        specs.append((c, bw, g0, (hi + cut * bw - g0) / (grid_size - 1), lo, 1.0 / (n * bw * math.sqrt(2 * math.pi)),
-                      n * (last - first) / bins))
+        specs.append((c, bw, g0, (hi + cut * bw - g0) / (grid_size - 1), lo, 1.0 / (n * bw * math.sqrt(2 * math.pi)), scale))
     pairs = []
     for c, bw, _g0, _step, lo, _norm, _scale in specs:
         x = F.col(c).cast("double")
@@ -174,9 +178,9 @@ def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float =
                     (F.col("w") * F.col("norm")).alias("density"), (F.col("w") * F.col("norm") * F.col("scale")).alias("curve")))
 
 
-def kde(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS) -> DataFrame:
+def kde(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0.0, cells: int = KDE_CELLS, curve: bool = True) -> DataFrame:
     """(point, x, density, curve) of one column; see ``kdes``."""
-    return kdes(df, [col], grid_size, cut, cells).drop("column_name")
+    return kdes(df, [col], grid_size, cut, cells, curve).drop("column_name")
 
 
 def kde_exact(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0.0) -> DataFrame:

@@ -467,14 +467,14 @@ def _distribution_histograms(spark, sf_dir):
     "featured", f"SELECT point, x, density FROM ({TW.kde_body(['resolution_time_hours'])})"), ["x", "density"]))
 def _resolution_kde(spark, sf_dir):
     """Gaussian KDE (Scott bandwidth) of resolution hours on 200 points over its range."""
-    return ST.kde(featured(spark, sf_dir), "resolution_time_hours").select("point", "x", "density")
+    return ST.kde(featured(spark, sf_dir), "resolution_time_hours", curve=False).select("point", "x", "density")
 
 
 @register("distribution_kdes", rounded_sql(with_stage("featured", TW.kde_body(TW.NUMERIC_FEATURES[:5])), ["x", "density"]))
 def _distribution_kdes(spark, sf_dir):
     """A21 (curves): the KDE of each of the first five numeric features."""
     st = delay_stages(spark, sf_dir)
-    return ST.kdes(st.featured, st.info.numerical_columns[:5]).drop("curve")
+    return ST.kdes(st.featured, st.info.numerical_columns[:5], curve=False).drop("curve")
 
 
 @register("feature_correlations", rounded_sql(
@@ -600,7 +600,8 @@ fitted AS (SELECT """ + ", ".join(
     + " FROM part, med)"), [f"{c}_s" for c in _NUM]))
 def _prepared_numeric(spark, sf_dir):
     """M3, M5: numeric columns with gaps, imputed by train medians and scaled by train moments."""
-    rows = random_split(_with_gaps(spark, sf_dir), 0.2, 42)
+    # the narrow columns are written once: every quantile round and moment pass reads them again
+    rows = random_split(materialize(_with_gaps(spark, sf_dir).select(S.UNIQUE_ID, *_NUM), "gaps"), 0.2, 42)
     prep = fit_numeric_prep(rows.where("split = 'train'"), _NUM)
     return prep.stage("_s").transform(rows).select(S.UNIQUE_ID, *[f"{c}_s" for c in _NUM])
 
@@ -634,7 +635,7 @@ fills AS (SELECT """ + ", ".join(
     f"(SELECT {c} FROM part WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_mode" for c in _TXT) + ")"))
 def _prepared_one_hot(spark, sf_dir):
     """M4, M6, M7: text columns filled with the train mode, one-hot coded and assembled; ones per feature over all rows."""
-    rows = random_split(_with_gaps(spark, sf_dir), 0.2, 42)
+    rows = random_split(materialize(_with_gaps(spark, sf_dir).select(S.UNIQUE_ID, *_TXT), "gaps"), 0.2, 42)
     train = rows.where("split = 'train'")
     fitted = Pipeline(stages=[fill_stage(fit_categorical_fill(train, _TXT)), *one_hot_stages(_TXT), VectorAssembler(
         inputCols=[f"{c}_oh" for c in _TXT], outputCol="features")]).fit(train)
