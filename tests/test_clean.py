@@ -81,3 +81,21 @@ def test_text_times_in_several_patterns(spark):
     assert {r.id: r.issue_reported_at for r in first.collect()}[0] == dt.datetime(2023, 8, 1, 11, 13)
     with pytest.raises(ValueError, match="issue_reported_at"):
         check_parsed(df, convert_datetimes(df, formats="MM-yyyy"))
+
+
+def test_time_patterns_are_voted(spark):
+    """Day first, month first, ambiguous, mixed, missing and unreadable columns; clean_data needs no formats."""
+    from ticketlens.operators.formats import infer_formats
+    rows = [("01/08/2023 11:13", "08/13/2023 1:05:09", "01/02/2023", "3-4-2023", None, "soon", 1),
+            ("15/08/2023 09:00", "1/2/2023 23:59:59", "03/04/2023", "nonsense", None, "", 2),
+            (None, "garbage", "12/12/2023", "2023-01-05", None, None, 3), ("2/9/2023 7:30", None, None, "31-12-2023", None, "13", 4)]
+    df = spark.createDataFrame(rows, "`a.b` string, m string, both string, mixed string, none string, bad string, n long")
+    got = {r.column_name: tuple(r)[1:] for r in infer_formats(df, df.columns).collect()}
+    assert got == {"a.b": ("d/M/yyyy H:mm", 3, 3, False), "m": ("M/d/yyyy H:mm:ss", 3, 2, False), "both": ("M/d/yyyy", 3, 3, True),
+                   "mixed": ("d-M-yyyy", 4, 2, False), "none": (None, 0, 0, False), "bad": (None, 3, 0, False)}
+    assert infer_formats(df, ["n"]).collect() == [] and infer_formats(df.where("false"), ["m"]).first().pattern is None
+    export = spark.createDataFrame([("1", "01/08/2023 11:13", "01/08/2023 11:43", "02/03/2023"), ("2", "14/08/2023 10:00", "14/08/2023 10:30", "04/05/2023")],
+                                   "unique_id string, issue_reported_at string, issue_responded string, survey_response_date string")
+    clean, stats = clean_data(export)
+    assert stats["mean_response_time"] == 30.0 and stats["ambiguous_timestamps"] == ["survey_response_date"]
+    assert {r.unique_id: r.issue_reported_at for r in clean.collect()}["1"] == dt.datetime(2023, 8, 1, 11, 13)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ticketlens import schema as S
 from ticketlens.functions import clip, lower_text, minutes_between
+from ticketlens.operators.formats import inferred, text_columns
 from ticketlens.operators.numbering import number_rows
 from ticketlens.operators.order_stats import exact_medians, exact_quantiles, modes
 from ticketlens.session import materialize, release
@@ -30,8 +31,8 @@ def convert_datetimes(df: DataFrame, cols: list[str] = S.DATETIME_COLS,
                       formats: dict[str, str | list[str]] | str | list[str] | None = None) -> DataFrame:
     """Coerce columns to naive timestamps; unparsable text becomes NULL.
 
-    Text is parsed with the first of its candidate patterns that fits, never a
-    guessed one: ``formats`` is one pattern or a list for all columns, or a dict
+    Text is parsed with the first of its candidate patterns that fits, none is
+    guessed here (``clean_data`` infers them): ``formats`` is one pattern or a list for all columns, or a dict
     by column.  Typed timestamps are normalised to TIMESTAMP_NTZ.
     """
     exprs = {}
@@ -88,9 +89,15 @@ def clean_data(df: DataFrame, formats=None, dedup: bool = True
                ) -> tuple[DataFrame, dict]:
     """The composite cleaning step; returns the cleaned frame and stats.
 
-    ``dedup=False`` is the satisfaction pipeline's variant (no C3).
+    ``dedup=False`` is the satisfaction pipeline's variant (no C3).  Without
+    ``formats`` the pattern of every text column of timestamps is inferred from
+    all its texts (``formats.infer_formats``).
     """
     stats: dict = {}
+    if formats is None and text_columns(df, S.DATETIME_COLS):
+        formats, ambiguous = inferred(df, S.DATETIME_COLS, DEFAULT_TS_FORMATS)
+        if ambiguous:
+            stats["ambiguous_timestamps"] = ambiguous
     text, df = df, convert_datetimes(df, formats=formats)
     unparsed = check_parsed(text, df)
     if any(unparsed.values()):

@@ -7,6 +7,7 @@ produced; the SURVEY operator ids are noted per entry.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -23,6 +24,7 @@ from ticketlens.operators import reports as R
 from ticketlens.operators.clean import add_response_time, convert_datetimes, drop_duplicate_rows
 from ticketlens.operators.encode import label_dictionary
 from ticketlens.operators.features import add_csat_features
+from ticketlens.operators.formats import CANDIDATES, SWAPPED, infer_formats
 from ticketlens.plans.pipelines import delay_stages
 from ticketlens.plans import sql_twins as TW
 from ticketlens.plans.sql_twins import ENCODED_COLS, with_stage
@@ -429,6 +431,36 @@ def _parsed_text_times(spark, sf_dir):
     return convert_datetimes(text, formats=["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss"])
 
 
+# the notation of each text column, as (Java pattern, DuckDB format) of its rows
+_WRITTEN = {"order_date_time": ("dd.MM.yyyy", "%d.%m.%Y"), "issue_reported_at": ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"),
+            "issue_responded": ("MM/dd/yyyy HH:mm:ss", "%m/%d/%Y %H:%M:%S"), "survey_response_date": ("yyyy-MM-dd", "%Y-%m-%d")}
+_SQL_FORMAT = {"yyyy": "%Y", "M": "%m", "d": "%d", "H": "%H", "mm": "%M", "ss": "%S"}
+
+
+def _duck_format(pattern: str) -> str:
+    return re.sub("yyyy|mm|ss|[MdH]", lambda m: _SQL_FORMAT[m[0]], pattern)
+
+
+_votes = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {j} AS pos, '{p}' AS pattern, '{SWAPPED.get(p, '')}' AS swapped, count(w.{c}) AS texts, "
+    f"count(try_strptime(w.{c}, '{_duck_format(p)}')) AS parsed FROM w" for c in _WRITTEN for j, p in enumerate(CANDIDATES))
+
+
+@register("inferred_time_formats", with_stage("tickets", """
+SELECT b.column_name, CASE WHEN b.parsed > 0 THEN b.pattern END AS pattern, b.texts, b.parsed,
+  coalesce(b.parsed > 0 AND s.parsed = b.parsed, false) AS ambiguous
+FROM (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY parsed DESC, pos) = 1) b
+LEFT JOIN votes s ON s.column_name = b.column_name AND s.pattern = b.swapped""", "w AS (SELECT " + ", ".join(
+    f"CASE WHEN length(unique_id) = 4 AND unique_id LIKE '%7' THEN strftime({c}, '%d-%m-%Y') ELSE strftime({c}, '{f}') END AS {c}"
+    for c, (_, f) in _WRITTEN.items()) + " FROM tickets), votes AS (" + _votes + ")"))
+def _inferred_time_formats(spark, sf_dir):
+    """The voted pattern of four text columns in four notations, some rows of each in a fifth."""
+    odd = (F.length(S.UNIQUE_ID) == 4) & F.col(S.UNIQUE_ID).like("%7")
+    text = raw(spark, sf_dir).select(*[F.when(odd, F.date_format(c, "dd-MM-yyyy")).otherwise(F.date_format(c, p)).alias(c)
+                                       for c, (p, _) in _WRITTEN.items()])
+    return infer_formats(text, list(_WRITTEN))
+
+
 @register("quality_record", with_stage("tickets", "SELECT total_rows, duplicates, missing FROM ("
           "SELECT count(*) AS total_rows, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tickets)) AS BIGINT) AS duplicates, "
           + " || ',' || ".join(f"'{c}=' || CAST(count_if({c} IS NULL) AS VARCHAR)" for c in _RAW_COLS) + " AS missing FROM tickets)"))

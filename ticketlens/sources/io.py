@@ -3,7 +3,7 @@
 * S1 ``read_tickets_csv``: header CSV read as text (no schema-inference
   pass over the data), export names mapped to snake_case, numeric columns
   converted with ``try_cast`` (bad text -> NULL); timestamps stay text for
-  the explicit-format parse in ``clean.convert_datetimes``.
+  the parse in ``clean.clean_data``, whose patterns are inferred or given.
 * S2/S3 ``load_project_data``: processed table if present, else the raw
   export, else nothing; optional comparison table and run record; models.
 * S4-S6 writers; S7/S8 model persistence through ``pyspark.ml`` writers.
