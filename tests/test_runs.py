@@ -45,11 +45,15 @@ def test_delay_pipeline_from_a_csv_path(spark):
     for c in ("issue_reported_at", "issue_responded", "order_date_time", "survey_response_date"):
         t = t.withColumn(c, F.date_format(c, "dd/MM/yyyy HH:mm:ss"))
     io.write_tickets_csv(t, os.path.join(base, "raw"))
+    res = run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), tune=False, cv=0)
+    late = res["featured"].where("is_delayed = 1").count()
+    assert late > 0 and res["record"].first().data_file.endswith("raw")
+    # the voted pattern reads what the named one reads
+    from ticketlens.plans.pipelines import delay_stages_from
+    named = delay_stages_from(io.read_tickets_csv(spark, os.path.join(base, "raw")), formats="dd/MM/yyyy HH:mm:ss").featured
+    assert named.where("is_delayed = 1").count() == late
     with pytest.raises(ValueError, match="no timestamp pattern"):
-        run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), tune=False, cv=0)
-    res = run_delay_pipeline(spark, os.path.join(base, "raw"), kinds=("logistic_regression",), tune=False, cv=0,
-                             formats="dd/MM/yyyy HH:mm:ss")
-    assert res["featured"].where("is_delayed = 1").count() > 0 and res["record"].first().data_file.endswith("raw")
+        delay_stages_from(io.read_tickets_csv(spark, os.path.join(base, "raw")), formats="MM-yyyy")
 
 
 def test_csat_pipeline(spark):
