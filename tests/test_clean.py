@@ -99,3 +99,35 @@ def test_time_patterns_are_voted(spark):
     clean, stats = clean_data(export)
     assert stats["mean_response_time"] == 30.0 and stats["ambiguous_timestamps"] == ["survey_response_date"]
     assert {r.unique_id: r.issue_reported_at for r in clean.collect()}["1"] == dt.datetime(2023, 8, 1, 11, 13)
+
+
+def test_rows_that_occur_once_are_not_shuffled_and_copies_go(spark):
+    from ticketlens.operators.clean import drop_duplicate_rows
+    rows = [(i, f"t{i % 50}", float(i % 7)) for i in range(500)] + [(1, "t1", 1.0)] * 300 + [(None, None, None)] * 3 \
+        + [(9999, None, float("nan"))] * 2 + [(7777, "z", 0.0), (7777, "z", -0.0)]
+    df = spark.createDataFrame(rows, "id long, `a.b` string, _bits double").repartition(5)
+    got = drop_duplicate_rows(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.dropDuplicates().collect()))
+    assert drop_duplicate_rows(df.where("false")).count() == 0
+
+
+def test_shared_digest_bits_do_not_drop_rows(spark, monkeypatch):
+    from ticketlens.operators import clean
+    monkeypatch.setattr(clean, "DIGEST_BITS", 3)               # every row meets a set bit
+    df = spark.createDataFrame([(i % 40, i % 40 > 5 and i) for i in range(100)], "a long, b string")
+    assert sorted(map(str, clean.drop_duplicate_rows(df).collect())) == sorted(map(str, df.dropDuplicates().collect()))
+
+
+def test_column_names_with_dots(spark):
+    from ticketlens.operators.clean import cap_outliers, clean_data
+    from ticketlens.operators.quality import describe, duplicate_report, missing_report, quality_record
+    df = spark.createDataFrame([(str(i), "c", None if i == 3 else float(i), f"x{i}") for i in range(8)] + [("0", "c", 0.0, "x0")],
+                               "unique_id string, category string, `size.cm` double, `a``b` string")
+    assert [(r.column_name, r.missing_values) for r in missing_report(df).collect()] == [("size.cm", 1)]
+    assert duplicate_report(df).first().duplicates == 1 and describe(df).first().column_name == "size.cm"
+    assert quality_record(df).first().missing_values["size.cm"] == 1
+    out, stats = clean_data(df)
+    assert stats["duplicates_removed"] == 1 and set(out.columns) == set(df.columns)
+    capped, _, bounds = cap_outliers(out)
+    assert "size.cm" in bounds and capped.count() == 8

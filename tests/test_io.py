@@ -50,3 +50,25 @@ def test_null_markers_and_nan(spark):
     assert [r.x for r in io.nan_to_null(df).collect()] == [None, 2.0]
     from ticketlens.operators.quality import missing_report
     assert {r.column_name: r.missing_values for r in missing_report(df).collect()} == {"x": 1, "k": 1}
+
+
+def test_types_of_columns_that_the_export_does_not_name(spark):
+    base = tempfile.mkdtemp(prefix="tl-io-", dir="/tmp")
+    with open(os.path.join(base, "t.csv"), "w") as f:
+        f.write("Unique id,Item_price,visits,score.x,vip,gappy,code,empty,huge\n"
+                "1,2.5,7,1.5,True,true,A1,,99999999999999999999\n2,bad,,-2e3,False,,17,NA,1\n3,1, 12 ,inf,true,false,8,null,2\n")
+    df = io.read_tickets_csv(spark, os.path.join(base, "t.csv"))
+    assert dict(df.dtypes) == {"unique_id": "string", "item_price": "double", "visits": "bigint", "score.x": "double", "vip": "boolean",
+                               "gappy": "string", "code": "string", "empty": "double", "huge": "double"}
+    rows = {r.unique_id: r for r in df.collect()}
+    assert [rows[k].visits for k in "123"] == [7, None, 12] and [rows[k].vip for k in "123"] == [True, False, True]
+    assert [rows[k]["score.x"] for k in "123"] == [1.5, -2000.0, float("inf")] and rows["2"].item_price is None
+    plain = io.read_tickets_csv(spark, os.path.join(base, "t.csv"), infer=False)
+    assert dict(plain.dtypes)["visits"] == "string"
+
+
+def test_types_of_an_empty_table(spark):
+    from ticketlens.sources.types import infer_types
+    got = infer_types(spark.createDataFrame([], "a string, b int")).collect()
+    assert [(r.column_name, r.type, r.texts, r.missing) for r in got] == [("a", "double", 0, 0)]
+    assert infer_types(spark.createDataFrame([(1,)], "b int")).count() == 0

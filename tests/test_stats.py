@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.operators.stats import correlation_matrix, histogram, kde, kde_exact, kdes
@@ -82,3 +85,32 @@ def test_histograms_deal_their_bins_over_tasks(spark):
     assert "sequence(" not in plan and "Range (0, " in plan
     got = {(r.column_name, r.bin): tuple(r)[2:] for r in out.collect()}
     assert got == {(c, r.bin): tuple(r)[1:] for c in "ab" for r in histogram(df, c).collect()}
+
+
+def test_histogram_runs_equal_the_listed_bins(spark):
+    from ticketlens.operators.stats import histogram_runs, histograms
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.gauss(0, 1), float(rng.choice([1, 2, 90])), None) for _ in range(400)] + [(40.0, None, float("nan"))],
+                               "`x.y` double, b double, c double")
+    dense = {(r.column_name, r.bin): r for r in histograms(df, ["x.y", "b", "c"]).collect()}
+    seen = set()
+    for r in histogram_runs(df, ["x.y", "b", "c"]).collect():
+        assert (r["count"] > 0) == (r.bins == 1 and r["count"] > 0)
+        for i in range(r.bin, r.bin + r.bins):
+            d = dense[(r.column_name, i)]
+            assert d["count"] == r["count"]
+            seen.add((r.column_name, i))
+        assert abs(r.bin_start - dense[(r.column_name, r.bin)].bin_start) < 1e-9
+        assert abs(r.bin_end - dense[(r.column_name, r.bin + r.bins - 1)].bin_end) < 1e-9
+    assert seen == set(dense)
+
+
+def test_histogram_runs_with_a_far_value(spark):
+    from ticketlens.operators.stats import histogram, histogram_runs
+    df = spark.createDataFrame([(i * 1e-6,) for i in range(1000)] + [(1e13,)], "x double")
+    got = histogram_runs(df, ["x"]).collect()
+    assert len(got) <= 1 + 2 * 1001 and sum(r["count"] for r in got) == 1001
+    assert sum(r.bins for r in got) > 1 << 31 and max(r.bin_end for r in got) == pytest.approx(1e13)
+    with pytest.raises(ValueError, match="histogram_runs"):
+        histogram(df, "x")
+    assert histogram_runs(df.where("false"), ["x"]).count() == 0

@@ -3,8 +3,8 @@ outlier capping and text normalisation.
 
 Job shape of ``clean_data`` (see the module README for the plan):
 one aggregate on the raw rows (row count, mean response time), the
-de-duplication shuffle (the only wide step that moves whole rows; its output
-is written to the checkpoint folder once), one aggregate for every null
+de-duplication (digests of all rows are shuffled, whole rows only where a digest
+occurs twice; its output is written to the checkpoint folder once), one aggregate for every null
 count, one value-count shuffle for all modes, a few small passes for exact
 medians, then one projection applies every fill and the result is written.
 """
@@ -20,11 +20,13 @@ from ticketlens.functions import clip, lower_text, minutes_between
 from ticketlens.operators.formats import inferred, text_columns
 from ticketlens.operators.numbering import number_rows
 from ticketlens.operators.order_stats import exact_medians, exact_quantiles, modes
+from ticketlens.operators.quality import row_digest
 from ticketlens.session import materialize, release
 
 #: unambiguous patterns; day-first and month-first texts need ``formats``
 DEFAULT_TS_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
 GENERATED_ID_PREFIX = "generated_order_"
+DIGEST_BITS = 1 << 27
 
 
 def convert_datetimes(df: DataFrame, cols: list[str] = S.DATETIME_COLS,
@@ -73,8 +75,28 @@ def add_response_time(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One copy of each full-row duplicate."""
-    return df.dropDuplicates()
+    """One copy of each full-row duplicate; rows that occur once stay in their tasks.
+
+    A first pass shuffles two 64-bit digests per row and finds those that occur
+    twice or more.  They become a set of ``DIGEST_BITS`` bits, which is 16 MB at any
+    size.  A second pass lets every row whose bit is clear through: no copy of it
+    exists.  Only the others travel whole and are compared in all their columns, so
+    neither equal digests nor shared bits change the result.
+    """
+    h1, h2 = row_digest(df)
+    place = lambda h: F.pmod(h, F.lit(DIGEST_BITS))
+    twice = df.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = twice.select((F.bitmap_bucket_number(place(F.col("h1")) + 1)).alias("_bucket"), F.bitmap_bit_position(place(F.col("h1")) + 1).alias("_bit"))
+    bits = at.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))     # at most DIGEST_BITS / 32,768 rows of 4 KB
+    spot = place(h1) + 1
+    row = df.select(F.struct(*[F.col(S.quoted(c)).alias(c) for c in df.columns]).alias("_row"),
+                    F.bitmap_bucket_number(spot).alias("_at"), F.bitmap_bit_position(spot).alias("_p"))
+    row = row.join(F.broadcast(bits), F.col("_at") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    row = row.select("_row", F.coalesce(F.call_function("shiftright", byte, (F.col("_p") % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)).alias("_seen"))
+    marked = row.select("_seen", "_row.*")
+    names = [F.col(S.quoted(c)) for c in df.columns]
+    return marked.where(~F.col("_seen")).select(*names).unionByName(marked.where("_seen").select(*names).dropDuplicates())
 
 
 def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_ID,
@@ -82,7 +104,7 @@ def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_I
     """NULL ids become ``{prefix}{i}``, i dense from 0 in (md5(key), key) order."""
     numbered = number_rows(df, F.col(col).isNull(), key_col, "_gen")
     filled = F.coalesce(F.col(col), F.concat(F.lit(prefix), F.col("_gen").cast("string")))
-    return numbered.withColumn(col, filled).drop("_gen").select(*df.columns)
+    return numbered.withColumn(col, filled).drop("_gen").select(*[S.quoted(c) for c in df.columns])
 
 
 def clean_data(df: DataFrame, formats=None, dedup: bool = True
@@ -114,7 +136,7 @@ def clean_data(df: DataFrame, formats=None, dedup: bool = True
     deduped = materialize(drop_duplicate_rows(df) if dedup else df, "deduped")
     nulls_and_rows = deduped.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(deduped.columns)],
+        *[F.count_if(F.col(S.quoted(c)).isNull()).alias(f"_{i}") for i, c in enumerate(deduped.columns)],
         *([F.count_if(F.col(S.ORDER_TS).isNull() & F.col(S.REPORTED).isNull()).alias("_both")]
           if S.ORDER_TS in deduped.columns and S.REPORTED in deduped.columns else [])).first()
     removed = first["n"] - nulls_and_rows["_rows"]
@@ -176,7 +198,7 @@ def outlier_bounds(df: DataFrame, target_col: str | None = None, k: float = 1.5
                    ) -> tuple[dict[str, int], dict[str, tuple[float, float]]]:
     """(outliers, bounds [Q1 - k*IQR, Q3 + k*IQR]) per examined column with values."""
     cols = outlier_columns(df, target_col)
-    df = df.select(*cols)
+    df = df.select(*[S.quoted(c) for c in cols])
     q = exact_quantiles(df, cols, [0.25, 0.75])
     bounds = {}
     for c in cols:
@@ -187,7 +209,7 @@ def outlier_bounds(df: DataFrame, target_col: str | None = None, k: float = 1.5
         bounds[c] = (q1 - k * iqr, q3 + k * iqr)
     if not bounds:
         return {}, {}
-    row = df.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"_{i}")
+    row = df.agg(*[F.count_if((F.col(S.quoted(c)) < lo) | (F.col(S.quoted(c)) > hi)).alias(f"_{i}")
                    for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
     return {c: row[f"_{i}"] for i, c in enumerate(bounds)}, bounds
 
@@ -202,8 +224,8 @@ def cap_outliers(df: DataFrame, target_col: str | None = None, k: float = 1.5
     capped = {c: n for c, n in counts.items() if n > 0}
     # every examined column comes out DOUBLE (pandas turns a clipped integer
     # column into float64); the type then does not depend on the data
-    exprs = {c: (clip(F.col(c).cast("double"), float(bounds[c][0]), float(bounds[c][1]))
-                 if c in capped else F.col(c).cast("double"))
+    exprs = {c: (clip(F.col(S.quoted(c)).cast("double"), float(bounds[c][0]), float(bounds[c][1]))
+                 if c in capped else F.col(S.quoted(c)).cast("double"))
              for c in bounds}
     return (df.withColumns(exprs) if exprs else df), capped, bounds
 

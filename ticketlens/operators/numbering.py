@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlens.schema import quoted
 from ticketlens.session import materialize
 
 
@@ -41,8 +42,8 @@ def _offsets_frame(spark, rows: list[tuple], key: str, total_cols: list[str]) ->
 
 def row_tie_break(df: DataFrame) -> Column:
     """Hash of all values of a row and of which are missing."""
-    lacks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
-    return F.xxhash64(lacks, *df.columns)
+    cols = [F.col(quoted(c)) for c in df.columns]
+    return F.xxhash64(F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols]), *cols)
 
 
 def number_rows(df: DataFrame, cond: Column, key_col: str, out_col: str) -> DataFrame:

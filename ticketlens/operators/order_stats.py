@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.schema import quoted
+
 FINAL_ROWS = 4096
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 2.0 / SKETCH_ACCURACY
@@ -56,9 +58,9 @@ class _Target:
 
 def _valid(df: DataFrame, col: str):
     if isinstance(df.schema[col].dataType, T.IntegralType):
-        c = F.col(col).cast("long")
+        c = F.col(quoted(col)).cast("long")
         return c, c.isNotNull()
-    c = F.col(col).cast("double")
+    c = F.col(quoted(col)).cast("double")
     return c, c.isNotNull() & ~F.isnan(c)
 
 
@@ -260,7 +262,7 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     dropped, as in ``value_counts``.
     """
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value")) for c in cols
     ])).alias("kv")).select("kv.column_name", "kv.value")
     return (long.where(F.col("value").isNotNull())
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))

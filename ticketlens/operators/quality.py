@@ -20,8 +20,8 @@ from ticketlens.operators.reports import top_values_many
 def is_missing(df: DataFrame, c: str) -> Column:
     """NULL, or NaN in a floating-point column (pandas counts both)."""
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-        return F.col(c).isNull() | F.isnan(F.col(c))
-    return F.col(c).isNull()
+        return F.col(S.quoted(c)).isNull() | F.isnan(F.col(S.quoted(c)))
+    return F.col(S.quoted(c)).isNull()
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -39,8 +39,14 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 def row_hashes(df: DataFrame) -> DataFrame:
     """Two 64-bit hashes of every row and of which values it lacks: what a duplicate count shuffles instead of the row."""
-    lacks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])    # hashes pass over NULLs
-    return df.select(F.xxhash64(lacks, *df.columns).alias("h1"), F.xxhash64(F.lit(1), lacks, *df.columns).alias("h2"))
+    h1, h2 = row_digest(df)
+    return df.select(h1.alias("h1"), h2.alias("h2"))
+
+
+def row_digest(df: DataFrame) -> tuple[Column, Column]:
+    cols = [F.col(S.quoted(c)) for c in df.columns]
+    lacks = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])    # hashes pass over NULLs
+    return F.xxhash64(lacks, *cols), F.xxhash64(F.lit(1), lacks, *cols)
 
 
 def _distinct_rows(df: DataFrame):
@@ -61,7 +67,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(S.quoted(c)).cast("double")
         x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
                  F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
@@ -110,7 +116,7 @@ def quality_record(df: DataFrame) -> DataFrame:
 def head(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
     """Q6: first rows by a deterministic order (top-k, not a sample)."""
     order = order or [c for c in (S.UNIQUE_ID, S.REMARKS) if c in df.columns] or df.columns[:1]
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*[F.col(S.quoted(c)) for c in order]).limit(n)
 
 
 def target_distribution(df: DataFrame, target_col: str = S.TARGET) -> DataFrame:

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.operators.order_stats import exact_quantiles
+from ticketlens.schema import quoted
+from ticketlens.session import materialize
 
 KDE_GRID = 200
 KDE_CELLS = 64           # cells to a bandwidth
 
 
 def _moments(df: DataFrame, col: str):
-    x = F.col(col).cast("double")
+    x = F.col(quoted(col)).cast("double")
     ok = x.isNotNull() & ~F.isnan(x)
     return df.agg(F.count(F.when(ok, x)).alias("n"), F.min(F.when(ok, x)).alias("lo"),
                   F.max(F.when(ok, x)).alias("hi"), F.stddev_samp(F.when(ok, x)).alias("sd")).first()
@@ -56,7 +58,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
         first, last, bins = auto_bins(m["n"], m["lo"], m["hi"], q1, q3)
     else:
         first, last = (m["lo"], m["hi"]) if m["lo"] != m["hi"] else (m["lo"] - 0.5, m["hi"] + 0.5)
-    x = F.col(col).cast("double")
+    _bins_fit(bins)
+    x = F.col(quoted(col)).cast("double")
     idx = F.least(F.lit(bins - 1), F.floor((x - F.lit(first)) * F.lit(bins / (last - first)))).cast("int")
     counts = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(idx.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
@@ -69,6 +72,65 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
+DENSE_BINS = 1 << 31         # ids of a table that lists every bin are INT
+
+
+def _bins_fit(bins: int) -> None:
+    if bins >= DENSE_BINS:
+        raise ValueError(f"{bins} bins are too many to list one by one; histogram_runs gives empty bins as runs")
+
+
+def _specs(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, int]]:
+    """(first edge, last edge, bins) of every column with values, by the automatic rule."""
+    stats = _column_stats(df, cols)
+    live = [c for c in cols if stats[c][0]]
+    q = exact_quantiles(df, live, [0.25, 0.75])
+    return {c: auto_bins(*stats[c][:3], *q[c]) for c in live}
+
+
+RUNS = "column_name string, bin long, bins long, bin_start double, bin_end double, count long"
+
+
+def histogram_runs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A17 for any spread: (column_name, bin, bins, bin_start, bin_end, count), empty bins as runs.
+
+    An occupied bin is a row with ``bins`` = 1; a run of empty bins between two
+    occupied ones is one row with ``count`` 0, its first bin and its length, so a value
+    far from all others costs one row more.  The first and the last bin are always
+    occupied.  Occupied bins are sorted by range; each range looks for its next bin in
+    its own rows, and its last row takes the first bin of the next range that has rows
+    (one row per range).  Values must be finite, as for numpy.
+    """
+    spark = df.sparkSession
+    specs = _specs(df, cols)
+    if not specs:
+        return spark.createDataFrame([], RUNS)
+    pairs = []
+    for c, (first, last, bins) in specs.items():
+        x = F.col(quoted(c)).cast("double")
+        at = F.least(F.lit(bins - 1).cast("long"), F.floor((x - F.lit(first)) * F.lit(bins / (last - first))).cast("long"))
+        pairs.append(F.when(x.isNotNull() & ~F.isnan(x), F.struct(F.lit(c).alias("column_name"), at.alias("bin"))))
+    counts = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("p"))
+              .groupBy("p.column_name", "p.bin").agg(F.count(F.lit(1)).alias("count")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(n, "column_name", "bin").withColumn("_range", F.spark_partition_id()), "bins")
+    key = F.struct("column_name", "bin")
+    heads = ranged.groupBy("_range").agg(F.min(key).alias("head"))                       # one row per range
+    heads = heads.select("_range", F.lead("head").over(Window.orderBy("_range")).alias("_next"))
+    after = F.lead(key).over(Window.partitionBy("_range").orderBy("column_name", "bin"))
+    t = ranged.withColumn("_after", after).join(F.broadcast(heads), "_range")
+    t = t.withColumn("_after", F.coalesce("_after", "_next"))
+    gap = F.when(F.col("_after.column_name") == F.col("column_name"), F.col("_after.bin") - F.col("bin") - 1)
+    t = t.select("column_name", F.explode(F.filter(F.array(
+        F.struct("bin", F.lit(1).cast("long").alias("bins"), "count"),
+        F.when(gap > 0, F.struct((F.col("bin") + 1).alias("bin"), gap.alias("bins"), F.lit(0).cast("long").alias("count")))),
+        lambda s: s.isNotNull())).alias("s"))
+    edges = spark.createDataFrame([(c, f, (last - f) / bins) for c, (f, last, bins) in specs.items()], "column_name string, _f double, _w double")
+    return t.join(F.broadcast(edges), "column_name").select(                            # one row per column
+        "column_name", "s.bin", "s.bins", (F.col("_f") + F.col("s.bin") * F.col("_w")).alias("bin_start"),
+        (F.col("_f") + (F.col("s.bin") + F.col("s.bins")) * F.col("_w")).alias("bin_end"), "s.count")
+
+
 def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
     """A21 (numeric part): (column_name, bin, bin_start, bin_end, count) for several
     columns, each with its own automatic bins, counted in one aggregate.
@@ -79,7 +141,7 @@ def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
     sum(n_bins) rows whatever the row count.
     """
     spark = df.sparkSession
-    xs = {c: F.col(c).cast("double") for c in cols}
+    xs = {c: F.col(quoted(c)).cast("double") for c in cols}
     aggs = []
     for i, c in enumerate(cols):
         ok = xs[c].isNotNull() & ~F.isnan(xs[c])
@@ -93,6 +155,7 @@ def histograms(df: DataFrame, cols: list[str]) -> DataFrame:
         return spark.createDataFrame([], "column_name string, bin int, bin_start double, bin_end double, count long")
     pairs = []
     for c, (first, last, bins) in specs.items():
+        _bins_fit(bins)
         idx = F.least(F.lit(bins - 1), F.floor((xs[c] - F.lit(first)) * F.lit(bins / (last - first)))).cast("int")
         pairs.append(F.when(xs[c].isNotNull() & ~F.isnan(xs[c]),
                             F.struct(F.lit(c).alias("column_name"), idx.alias("bin"))))
@@ -118,7 +181,7 @@ def _column_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """(count, min, max, sample standard deviation) per column, NaN left out, in one aggregate."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(quoted(c)).cast("double")
         v = F.when(~F.isnan(x), x)
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.stddev_samp(v).alias(f"sd{i}")]
     m = df.agg(*aggs).first()
@@ -160,7 +223,7 @@ def kdes(df: DataFrame, cols: list[str], grid_size: int = KDE_GRID, cut: float =
         specs.append((c, bw, g0, (hi + cut * bw - g0) / (grid_size - 1), lo, 1.0 / (n * bw * math.sqrt(2 * math.pi)), scale))
     pairs = []
     for c, bw, _g0, _step, lo, _norm, _scale in specs:
-        x = F.col(c).cast("double")
+        x = F.col(quoted(c)).cast("double")
         pairs.append(F.when(x.isNotNull() & ~F.isnan(x), F.struct(
             F.lit(c).alias("column_name"), F.floor((x - F.lit(lo)) / F.lit(bw / cells)).alias("cell"), x.alias("v"))))
     occupied = (df.select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("s")).select("s.*")
@@ -191,7 +254,7 @@ def kde_exact(df: DataFrame, col: str, grid_size: int = KDE_GRID, cut: float = 0
     bw = m["sd"] * n ** (-0.2)
     g0, g1 = lo - cut * bw, hi + cut * bw
     step = (g1 - g0) / (grid_size - 1)
-    x = F.col(col).cast("double")
+    x = F.col(quoted(col)).cast("double")
     row = df.where(x.isNotNull() & ~F.isnan(x)).agg(*[
         F.sum(F.exp(-0.5 * F.pow((F.lit(g0 + i * step) - x) / F.lit(bw), 2))).alias(f"g{i}")
         for i in range(grid_size)]).first()
@@ -248,7 +311,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     k = len(cols)
     names = [f"c{i}" for i in range(k)]
-    values = [F.col(c).cast("double") for c in cols]
+    values = [F.col(quoted(c)).cast("double") for c in cols]
     narrow = df.select(*[F.when(~F.isnan(v), v).alias(n) for v, n in zip(values, names)])
     row = narrow.agg(*[F.avg(n).alias(n) for n in names]).first()
     means = [row[n] for n in names]

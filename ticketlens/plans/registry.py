@@ -30,6 +30,7 @@ from ticketlens.plans import sql_twins as TW
 from ticketlens.plans.sql_twins import ENCODED_COLS, with_stage
 from ticketlens.session import materialize, release
 from ticketlens.sources.tickets import tickets
+from ticketlens.sources.types import infer_types
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -461,6 +462,29 @@ def _inferred_time_formats(spark, sf_dir):
     return infer_formats(text, list(_WRITTEN))
 
 
+# columns of an export as text: whole numbers, decimals, truth values with and without gaps, texts, numbers with one odd text
+_EXPORT = {"whole": "csat_score + 0", "price": "CAST(item_price * 4 AS BIGINT) || '.5'",
+           "flag": "CASE WHEN unique_id LIKE '%3' THEN 'True' ELSE 'False' END",
+           "gappy.flag": "CASE WHEN csat_score IS NOT NULL AND unique_id NOT LIKE '%4' THEN 'true' END",
+           "city": "customer_city", "mixed": "CASE WHEN unique_id = '7' THEN '1e400x' ELSE '17' END",
+           "big": "'9' || lpad(unique_id, 19, '0')"}
+_WHOLE, _REAL = r"[ \t]*[+-]?[0-9]+[ \t]*", r"[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*"
+_ladder = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total, count(v) AS texts, count_if(v IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) AS booleans, "
+    f"count(CASE WHEN regexp_full_match(v, '{_WHOLE}') THEN TRY_CAST(v AS BIGINT) END) AS integers, "
+    f"count_if(regexp_full_match(v, '{_REAL}') OR regexp_full_match(lower(v), '[+-]?inf(inity)?')) AS doubles "
+    f"FROM (SELECT CAST({sql} AS VARCHAR) AS v FROM tickets)" for c, sql in _EXPORT.items())
+
+
+@register("inferred_types", with_stage("tickets", """
+SELECT column_name, CASE WHEN texts > 0 AND booleans = total THEN 'boolean' WHEN texts > 0 AND integers = texts THEN 'bigint'
+  WHEN doubles = texts THEN 'double' ELSE 'string' END AS type, texts, total - texts AS missing, booleans, integers, doubles
+FROM ladder""", "ladder AS (" + _ladder + ")"))
+def _inferred_types(spark, sf_dir):
+    """The inferred types of seven text columns (one name with a dot)."""
+    return infer_types(raw(spark, sf_dir).select(*[F.expr(e).cast("string").alias(c) for c, e in _EXPORT.items()]))
+
+
 @register("quality_record", with_stage("tickets", "SELECT total_rows, duplicates, missing FROM ("
           "SELECT count(*) AS total_rows, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tickets)) AS BIGINT) AS duplicates, "
           + " || ',' || ".join(f"'{c}=' || CAST(count_if({c} IS NULL) AS VARCHAR)" for c in _RAW_COLS) + " AS missing FROM tickets)"))
@@ -495,6 +519,21 @@ def _distribution_histograms(spark, sf_dir):
     return ST.histograms(st.featured, st.info.numerical_columns[:5])
 
 
+_RUN_CTES = _HIST_CTES + "".join(
+    f", h{i}_o AS (SELECT bin, cnt, lead(bin) OVER (ORDER BY bin) AS nxt FROM h{i}_c)" for i in range(5))
+_RUN_BODY = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(r.bin AS BIGINT) AS bin, CAST(r.bins AS BIGINT) AS bins, f + r.bin * ((l - f) / nb) AS bin_start, "
+    f"f + (r.bin + r.bins) * ((l - f) / nb) AS bin_end, CAST(r.cnt AS BIGINT) AS count FROM (SELECT bin, 1 AS bins, cnt FROM h{i}_o "
+    f"UNION ALL SELECT bin + 1, nxt - bin - 1, 0 FROM h{i}_o WHERE nxt > bin + 1) r, h{i}_b" for i, c in enumerate(TW.NUMERIC_FEATURES[:5]))
+
+
+@register("histogram_runs", rounded_sql(with_stage("featured", _RUN_BODY, _RUN_CTES), ["bin_start", "bin_end"]))
+def _histogram_runs(spark, sf_dir):
+    """The same histograms with runs of empty bins as one row each."""
+    st = delay_stages(spark, sf_dir)
+    return ST.histogram_runs(st.featured, st.info.numerical_columns[:5])
+
+
 @register("resolution_kde", rounded_sql(with_stage(
     "featured", f"SELECT point, x, density FROM ({TW.kde_body(['resolution_time_hours'])})"), ["x", "density"]))
 def _resolution_kde(spark, sf_dir):

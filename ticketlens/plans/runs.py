@@ -42,7 +42,7 @@ def report_tables(df: DataFrame, info: FeatureInfo | None = None, target: str =
     nums = (info.numerical_columns if info else S.numeric_columns(df))[:5]
     feats = info.feature_columns if info else [c for c in S.numeric_columns(df) if c != target]
     out = {"distribution_top_values": R.top_values_many(df, text, 10),
-           "distribution_histograms": ST.histograms(df, nums), "distribution_kdes": ST.kdes(df, nums)}
+           "distribution_histograms": ST.histogram_runs(df, nums), "distribution_kdes": ST.kdes(df, nums)}
     if "category" in df.columns:
         out["resolution_by_category"] = R.resolution_by_category(df, "category", target)
         out["top_categories"] = R.top_values(df, "category", 10)
@@ -65,7 +65,7 @@ def report_tables(df: DataFrame, info: FeatureInfo | None = None, target: str =
         out["status_counts"] = R.status_counts(df, target)
     out["correlations"] = ST.correlation_matrix(df, feats)
     if "resolution_time_hours" in df.columns:
-        out["resolution_histogram"] = ST.histogram(df, "resolution_time_hours")
+        out["resolution_histogram"] = ST.histogram_runs(df, ["resolution_time_hours"])
         out["resolution_kde"] = ST.kde(df, "resolution_time_hours")
     return out
 

@@ -48,25 +48,9 @@ UNKNOWN_FILL_COLS = ["customer_city", "product_category", REMARKS]
 ENCODE_EXCLUDE = [REMARKS, UNIQUE_ID, ORDER_ID]
 MODEL_EXCLUDE = [UNIQUE_ID, ORDER_ID, ORDER_TS, REPORTED, RESPONDED, SURVEY_TS, REMARKS]
 
-TICKET_SCHEMA = T.StructType([
-    T.StructField("unique_id", T.StringType()),
-    T.StructField("channel_name", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("sub_category", T.StringType()),
-    T.StructField("customer_remarks", T.StringType()),
-    T.StructField("order_id", T.StringType()),
-    T.StructField("order_date_time", T.StringType()),
-    T.StructField("issue_reported_at", T.StringType()),
-    T.StructField("issue_responded", T.StringType()),
-    T.StructField("survey_response_date", T.StringType()),
-    T.StructField("customer_city", T.StringType()),
-    T.StructField("product_category", T.StringType()),
-    T.StructField("item_price", T.DoubleType()),
-    T.StructField("connected_handling_time", T.DoubleType()),
-    T.StructField("tenure_bucket", T.StringType()),
-    T.StructField("agent_shift", T.StringType()),
-    T.StructField("csat_score", T.LongType()),
-])
+def quoted(name: str) -> str:
+    """A column name as SQL reads it literally, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def string_columns(df: DataFrame) -> list[str]:

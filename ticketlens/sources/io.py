@@ -1,9 +1,10 @@
 """Sources and sinks.
 
-* S1 ``read_tickets_csv``: header CSV read as text (no schema-inference
-  pass over the data), export names mapped to snake_case, numeric columns
-  converted with ``try_cast`` (bad text -> NULL); timestamps stay text for
-  the parse in ``clean.clean_data``, whose patterns are inferred or given.
+* S1 ``read_tickets_csv``: header CSV read as text, export names mapped to
+  snake_case; the named numeric columns are converted (bad text -> NULL), columns
+  that the export doesn't name get the type that reads all their texts
+  (``types.infer_types``, one more pass over these columns).  Timestamps stay text
+  for the parse in ``clean.clean_data``, whose patterns are inferred or given.
 * S2/S3 ``load_project_data``: processed table if present, else the raw
   export, else nothing; optional comparison table and run record; models.
 * S4-S6 writers; S7/S8 model persistence through ``pyspark.ml`` writers.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens import schema as S
+from ticketlens.sources.types import typed
 
 # --- fixed values: the texts that a CSV reader of the pandas kind takes as missing ---
 NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -32,25 +34,32 @@ NUMERIC_TYPES = {"item_price": "double", "connected_handling_time": "double", "c
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in floating-point columns becomes NULL, the one missing value of all later steps."""
-    exprs = {f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name)) for f in df.schema.fields
-             if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.withColumns(exprs) if exprs else df
+    real = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    col = lambda c: F.col(S.quoted(c))
+    return df.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in real else col(c) for c in df.columns])
 
 
 def read_tickets_csv(spark: SparkSession, path: str, rename: dict[str, str] = S.RAW_TO_SNAKE,
-                     null_markers: list[str] = NULL_MARKERS) -> DataFrame:
-    """Read a ticket export; unknown extra columns pass through, ``null_markers`` become NULL."""
+                     null_markers: list[str] = NULL_MARKERS, infer: bool = True) -> DataFrame:
+    """Read a ticket export; ``null_markers`` become NULL.
+
+    The columns that ``rename`` knows keep their types at any content.  All others
+    pass through under their own names, in the type that fits all their texts, or as
+    text with ``infer=False``.
+    """
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True) \
         .option("escape", '"').csv(path)
-    out = raw.select(*[F.when(~F.col(f"`{c}`").isin(null_markers), F.col(f"`{c}`")).alias(rename.get(c, c)) for c in raw.columns])
+    out = raw.select(*[F.when(~F.col(S.quoted(c)).isin(null_markers), F.col(S.quoted(c))).alias(rename.get(c, c)) for c in raw.columns])
     casts = {c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in NUMERIC_TYPES.items() if c in out.columns}
-    return out.withColumns(casts) if casts else out
+    out = out.withColumns(casts) if casts else out
+    extra = [c for c in out.columns if c not in set(rename.values())]
+    return typed(out, extra) if infer and extra else out
 
 
 def write_tickets_csv(df: DataFrame, path: str, rename: dict[str, str] = S.RAW_TO_SNAKE) -> str:
     """Write a table with the export's column names (the inverse of S1)."""
     back = {v: k for k, v in rename.items()}
-    out = df.select(*[F.col(c).cast("string").alias(back.get(c, c)) for c in df.columns])
+    out = df.select(*[F.col(S.quoted(c)).cast("string").alias(back.get(c, c)) for c in df.columns])
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
