@@ -759,7 +759,8 @@ def _scorer_comparison_long(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models (no SQL twin: fitted models)
-from ticketlens.ml.train import feature_importance, tune_logistic  # noqa: E402
+from ticketlens.ml.logistic import grid_points  # noqa: E402
+from ticketlens.ml.train import REFERENCE_GRIDS, feature_importance, search_forest, tune_logistic  # noqa: E402
 from ticketlens.plans import models as MD  # noqa: E402
 
 _DATA_CACHE: dict[int, tuple] = {}       # training data by the stages it comes from; one entry
@@ -804,9 +805,6 @@ def _delay_feature_importance(spark, sf_dir):
     return feature_importance(results["random_forest"].model, data.feature_names, 15, spark)
 
 
-CSAT_TRAIN_ROWS = {"random_forest": 5_000}      # documented bound of the forest alone, whose unlimited trees grow with its rows
-
-
 def _tuned_logistic(spark, sf_dir, tune):
     data = _delay_data(spark, sf_dir)
     return tune_logistic(data.logistic_table(5), len(data.feature_names), data.test, tune=tune, cv=5)
@@ -828,11 +826,22 @@ def _delay_grid_search(spark, sf_dir):
     return spark.createDataFrame(rows, "C double, penalty string, solver string, auc_mean double, auc_std double, rank int")
 
 
+@register("delay_forest_search")
+def _delay_forest_search(spark, sf_dir):
+    """The forest's whole grid (18 points, five stratified folds) on the delay target, every point ranked."""
+    data = _delay_data(spark, sf_dir)
+    found = search_forest(data.logistic_table(5), len(data.feature_names), grid_points(REFERENCE_GRIDS["random_forest"]), 5)
+    order = sorted(range(len(found.points)), key=lambda i: (-found.mean(i), i))
+    rows = [(p["n_estimators"], p["max_depth"], p["min_samples_split"], found.mean(i), found.std(i), order.index(i) + 1)
+            for i, p in enumerate(found.points)]
+    return spark.createDataFrame(rows, "n_estimators int, max_depth int, min_samples_split int, auc_mean double, auc_std double, rank int")
+
+
 @register("csat_model_ranking")
 def _csat_model_ranking(spark, sf_dir):
     """Multiclass satisfaction models ranked by accuracy."""
     clean, _ = clean_data(raw(spark, sf_dir), dedup=False)       # pipeline B has no de-duplication
-    ranked, verdict, _ = MD.run_csat_models(MD.csat_training_data(clean), max_train_rows=CSAT_TRAIN_ROWS)
+    ranked, verdict, _ = MD.run_csat_models(MD.csat_training_data(clean))
     v = verdict.first()
     return ranked.drop("runtime").withColumns({"best_model": F.lit(v["best_model"]), "gap": F.lit(v["gap"]),
                                                "small_gap": F.lit(v["small_gap"])})
