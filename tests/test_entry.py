@@ -10,4 +10,4 @@ def test_entry_and_registry(spark):
     no_sql = {k for k in set(q) - set(sql) if not k.startswith("op") and k != "pipeline"}
     assert no_sql == {"delay_model_comparison", "delay_model_comparison_long", "delay_feature_importance",
                       "csat_model_ranking", "delay_cross_validation",
-                      "delay_grid_search"}
+                      "delay_grid_search", "delay_forest_search"}
