@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens import schema as S
-from ticketlens.functions import clip, lower_text, minutes_between
+from ticketlens.functions import clip, contains_any, has_remarks_flag, lower_text, minutes_between, text_length
 from ticketlens.operators.formats import inferred, text_columns
-from ticketlens.operators.numbering import number_rows
+from ticketlens.operators.numbering import number_rows, row_tie_break
 from ticketlens.operators.order_stats import exact_medians, exact_quantiles, modes
 from ticketlens.operators.quality import row_digest
 from ticketlens.session import materialize, release
@@ -74,46 +74,79 @@ def add_response_time(df: DataFrame) -> DataFrame:
     return df
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, row: str | None = None) -> DataFrame:
     """One copy of each full-row duplicate; rows that occur once stay in their tasks.
 
     A first pass shuffles two 64-bit digests per row and finds those that occur
     twice or more.  They become a set of ``DIGEST_BITS`` bits, which is 16 MB at any
     size.  A second pass lets every row whose bit is clear through: no copy of it
     exists.  Only the others travel whole and are compared in all their columns, so
-    neither equal digests nor shared bits change the result.
+    neither equal digests nor shared bits change the result.  ``row`` names a row number
+    that is not compared; the smallest of the copies stays.
     """
-    h1, h2 = row_digest(df)
+    compared = df.drop(row) if row else df
+    h1, h2 = row_digest(compared)
     place = lambda h: F.pmod(h, F.lit(DIGEST_BITS))
     twice = df.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     at = twice.select((F.bitmap_bucket_number(place(F.col("h1")) + 1)).alias("_bucket"), F.bitmap_bit_position(place(F.col("h1")) + 1).alias("_bit"))
     bits = at.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))     # at most DIGEST_BITS / 32,768 rows of 4 KB
     spot = place(h1) + 1
-    row = df.select(F.struct(*[F.col(S.quoted(c)).alias(c) for c in df.columns]).alias("_row"),
-                    F.bitmap_bucket_number(spot).alias("_at"), F.bitmap_bit_position(spot).alias("_p"))
-    row = row.join(F.broadcast(bits), F.col("_at") == F.col("_bucket"), "left")
+    rows = df.select(F.struct(*[F.col(S.quoted(c)).alias(c) for c in df.columns]).alias("_row"),
+                     F.bitmap_bucket_number(spot).alias("_at"), F.bitmap_bit_position(spot).alias("_p"))
+    rows = rows.join(F.broadcast(bits), F.col("_at") == F.col("_bucket"), "left")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    row = row.select("_row", F.coalesce(F.call_function("shiftright", byte, (F.col("_p") % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)).alias("_seen"))
-    marked = row.select("_seen", "_row.*")
+    rows = rows.select("_row", F.coalesce(F.call_function("shiftright", byte, (F.col("_p") % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)).alias("_seen"))
+    marked = rows.select("_seen", "_row.*")
     names = [F.col(S.quoted(c)) for c in df.columns]
-    return marked.where(~F.col("_seen")).select(*names).unionByName(marked.where("_seen").select(*names).dropDuplicates())
+    seen = marked.where("_seen")
+    once = (seen.groupBy(*[F.col(S.quoted(c)) for c in compared.columns]).agg(F.min(row).alias(row)) if row
+            else seen.select(*names).dropDuplicates())
+    return marked.where(~F.col("_seen")).select(*names).unionByName(once.select(*names))
+
+
+def set_aside(df: DataFrame, row: str) -> DataFrame:
+    """The rows without their remarks, the one long column, and with ``S.HELD`` instead.
+
+    That struct holds the row's number in the written table, the tie-break over all its
+    columns and what the later steps read off the cleaned remarks, so none of them
+    writes or shuffles a text.  ``with_remarks`` brings the texts back.
+    """
+    text = F.coalesce(F.col(S.REMARKS), F.lit("Unknown"))
+    low = lower_text(text)
+    held = F.struct(F.col(row).alias("row"), row_tie_break(df.drop(row)).alias("tie"), F.col(S.REMARKS).isNull().alias("missing"),
+                    text_length(low).alias("remarks_length"), contains_any(text).alias("has_urgent_keywords"),
+                    has_remarks_flag(text).alias("has_customer_remarks"))
+    return df.select(*[F.col(S.quoted(c)) for c in df.columns if c not in (row, S.REMARKS)], held.alias(S.HELD))
+
+
+def with_remarks(df: DataFrame, loaded: DataFrame, row: str, lower: bool = False) -> DataFrame:
+    """``df`` with the cleaned remarks (``lower``: normalised) in their place among the columns of ``loaded``."""
+    text = F.coalesce(F.col("_text"), F.lit("Unknown"))
+    texts = loaded.select(F.col(row).alias("_at"), F.col(S.REMARKS).alias("_text"))
+    out = df.join(texts, F.col(f"{S.HELD}.row") == F.col("_at")).withColumn(S.REMARKS, lower_text(text) if lower else text)
+    first = [c for c in loaded.columns if c != row]
+    return out.select(*[F.col(S.quoted(c)) for c in first], *[F.col(S.quoted(c)) for c in df.columns if c not in (*first, S.HELD)])
 
 
 def generate_ids(df: DataFrame, col: str = S.ORDER_ID, key_col: str = S.UNIQUE_ID,
                  prefix: str = GENERATED_ID_PREFIX) -> DataFrame:
     """NULL ids become ``{prefix}{i}``, i dense from 0 in (md5(key), key) order."""
-    numbered = number_rows(df, F.col(col).isNull(), key_col, "_gen")
+    numbered = number_rows(df, F.col(col).isNull(), key_col, "_gen", F.col(f"{S.HELD}.tie") if S.HELD in df.columns else None)
     filled = F.coalesce(F.col(col), F.concat(F.lit(prefix), F.col("_gen").cast("string")))
     return numbered.withColumn(col, filled).drop("_gen").select(*[S.quoted(c) for c in df.columns])
 
 
-def clean_data(df: DataFrame, formats=None, dedup: bool = True
+def clean_data(df: DataFrame, formats=None, dedup: bool = True, row: str | None = None
                ) -> tuple[DataFrame, dict]:
     """The composite cleaning step; returns the cleaned frame and stats.
 
     ``dedup=False`` is the satisfaction pipeline's variant (no C3).  Without
     ``formats`` the pattern of every text column of timestamps is inferred from
     all its texts (``formats.infer_formats``).
+
+    ``row`` names a column of ``df`` that numbers its rows; ``df`` must be a written
+    table then.  The cleaned frame has ``S.HELD`` in place of the remarks
+    (``set_aside``), which ``with_remarks`` brings back.
     """
     stats: dict = {}
     if formats is None and text_columns(df, S.DATETIME_COLS):
@@ -133,16 +166,20 @@ def clean_data(df: DataFrame, formats=None, dedup: bool = True
     if "response_time_minutes" in df.columns:
         stats["mean_response_time"] = first["rt"]
 
-    deduped = materialize(drop_duplicate_rows(df) if dedup else df, "deduped")
+    deduped = drop_duplicate_rows(df, row) if dedup else df
+    deduped = materialize(set_aside(deduped, row) if row else deduped, "deduped")
     nulls_and_rows = deduped.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(S.quoted(c)).isNull()).alias(f"_{i}") for i, c in enumerate(deduped.columns)],
+        *([F.count_if(f"{S.HELD}.missing").alias("_text")] if row else []),
         *([F.count_if(F.col(S.ORDER_TS).isNull() & F.col(S.REPORTED).isNull()).alias("_both")]
           if S.ORDER_TS in deduped.columns and S.REPORTED in deduped.columns else [])).first()
     removed = first["n"] - nulls_and_rows["_rows"]
     if removed > 0:
         stats["duplicates_removed"] = removed
     nulls = {c: nulls_and_rows[f"_{i}"] for i, c in enumerate(deduped.columns)}
+    if row:
+        nulls[S.REMARKS] = nulls_and_rows["_text"]
 
     fills = {}
     remaining = dict(nulls)
@@ -168,8 +205,9 @@ def clean_data(df: DataFrame, formats=None, dedup: bool = True
             remaining[c] = 0
 
     for c in S.UNKNOWN_FILL_COLS:
-        if c in deduped.columns and nulls[c] > 0:
-            fills[c] = F.coalesce(F.col(c), F.lit("Unknown"))
+        if nulls.get(c, 0) > 0:
+            if c in deduped.columns:                     # remarks that are set aside come back filled
+                fills[c] = F.coalesce(F.col(c), F.lit("Unknown"))
             stats[f"{c}_filled"] = nulls[c]
             remaining[c] = 0
 

@@ -46,16 +46,16 @@ def row_tie_break(df: DataFrame) -> Column:
     return F.xxhash64(F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols]), *cols)
 
 
-def number_rows(df: DataFrame, cond: Column, key_col: str, out_col: str) -> DataFrame:
+def number_rows(df: DataFrame, cond: Column, key_col: str, out_col: str, tie: Column | None = None) -> DataFrame:
     """Rows matching ``cond`` get 0..m-1 in (md5(key), key, tie-break) order; others NULL.
 
     The numbered rows are written once, so every reader of the result sees the
-    same numbers.
+    same numbers.  ``tie`` is the tie-break where the rows no longer hold all their columns.
     """
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("_h"), F.col(key_col).asc_nulls_first(), F.col("_t")]
-    picked = (df.where(F.coalesce(cond, F.lit(False))).withColumn("_t", row_tie_break(df))
+    picked = (df.where(F.coalesce(cond, F.lit(False))).withColumn("_t", row_tie_break(df) if tie is None else tie)
               .withColumn("_h", hash_order_key(key_col)))
     ranged = materialize(picked.repartitionByRange(n_parts, *order).withColumn("_range", F.spark_partition_id()), "numbering")
     per = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())    # one row per range

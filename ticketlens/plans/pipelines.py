@@ -5,16 +5,22 @@ intermediates are written to the checkpoint folder: the cleaned table (read by
 the quantile jobs and every later stage) and the featured table (read by every
 report and model stage), so no report replays the remark join, the
 de-duplication shuffle or the label-encoding joins.
+
+The remarks, nearly all bytes of a ticket, are written once with the loaded table and
+set aside: both intermediates are without them, and the three frames that
+return them (``clean``, ``preprocessed``, ``featured``) join them by row number
+when they are read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticketlens import schema as S
-from ticketlens.operators.clean import clean_data, preprocess_data
+from ticketlens.operators.clean import clean_data, preprocess_data, with_remarks
 from ticketlens.plans.features import FeatureInfo, engineer_features
 from ticketlens.session import materialize, release
 from ticketlens.sources.io import nan_to_null
@@ -29,6 +35,10 @@ class DelayStages:
     preprocessed: DataFrame
     featured: DataFrame
     info: FeatureInfo
+    clean_rows: DataFrame                # cleaned, with ``S.HELD`` instead of the remarks where they are set aside
+    featured_rows: DataFrame             # featured, without the remarks: what reports and models read
+    loaded: DataFrame | None = None      # the loaded table with ``S.ROW``
+    tables: list[DataFrame] = field(default_factory=list)
 
 
 #: stages by (application, folder, state of its tables); the oldest go beyond this many
@@ -56,16 +66,21 @@ def clear_stages() -> None:
 
 def _forget(key: tuple) -> None:
     st = _CACHE.pop(key)
-    release(st.raw, st.clean, st.featured)
+    release(*st.tables)
 
 
-def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=None) -> DelayStages:
+def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=None, row: str | None = None) -> DelayStages:
+    """``row`` numbers the rows of a written table, whose remarks are then set aside."""
     raw = nan_to_null(raw)
-    clean, stats = clean_data(raw, formats=formats)
+    clean, stats = clean_data(raw, formats=formats, row=row)
     pre = preprocess_data(clean)
     featured, info = engineer_features(pre, True, S.TARGET, threshold_hours)
     # the featured table feeds every report and the model stages: write it once
-    return DelayStages(raw, clean, stats, pre, materialize(featured), info)
+    featured = materialize(featured)
+    if row is None:
+        return DelayStages(raw, clean, stats, pre, featured, info, clean, featured.drop(S.REMARKS), tables=[clean, featured])
+    return DelayStages(raw.drop(row), with_remarks(clean, raw, row), stats, with_remarks(pre, raw, row, lower=True),
+                       with_remarks(featured, raw, row, lower=True), info, clean, featured.drop(S.HELD), raw, [clean, featured])
 
 
 def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
@@ -76,9 +91,10 @@ def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
             _forget(next(iter(_CACHE)))
         # the loaded table is written once (as the reference loads its CSV once):
         # profiling, de-duplication and the raw-row queries all read it
-        raw = materialize(tickets(spark, sf_dir), "tickets")
-        st = delay_stages_from(raw)
-        st.raw = raw
+        loaded = materialize(tickets(spark, sf_dir).withColumn(S.ROW, F.monotonically_increasing_id()), "tickets")
+        st = delay_stages_from(loaded, row=S.ROW)
+        st.raw, st.loaded = loaded.drop(S.ROW), loaded
+        st.tables.append(loaded)
         _CACHE[key] = st
     return _CACHE[key]
 

@@ -33,6 +33,8 @@ RAW_TO_SNAKE = {
 UNIQUE_ID = "unique_id"
 ORDER_ID = "order_id"
 REMARKS = "customer_remarks"
+ROW = "_row"              # number of a row of a written table, by which its remarks are found again
+HELD = "_held"            # struct that stands for remarks set aside (``operators.clean.set_aside``)
 REPORTED = "issue_reported_at"
 RESPONDED = "issue_responded"
 ORDER_TS = "order_date_time"
