@@ -45,3 +45,26 @@ def test_copies_stay_without_de_duplication(spark):
     plain, _ = clean_data(loaded.drop(S.ROW), dedup=False)
     aside, _ = clean_data(loaded, dedup=False, row=S.ROW)
     assert _rows(with_remarks(aside, loaded, S.ROW)) == _rows(plain)
+
+
+def test_texts_are_written_once_and_rows_are_as_joined(spark, tmp_path, monkeypatch):
+    """Documents that come twice, without an id or without a text; no table holds a text per ticket."""
+    from ticketlens.plans import pipelines as P
+    from ticketlens.sources.tickets import tickets
+    n = F.col("id")
+    spark.range(300).select(
+        n.alias("event_id"), (n % 23).alias("user_id"), F.lit("click").alias("event_type"), ((n * 37) % 101 / 3.0).alias("value"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + n * 5000).alias("ts"), F.concat(F.lit('{"k": '), (n % 31).cast("string"), F.lit("}")).alias("props")
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    docs = [(0, "Urgent"), (1, None), (2, "Two"), (2, "Two"), (3, "ASAP"), (3, "other"), (None, "lost"), (4, "x" * 5000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written, write = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, *a: written.append(write(df, *a)) or written[-1])
+    st = P.delay_stages(spark, str(tmp_path))
+    raw = tickets(spark, str(tmp_path))
+    assert st.raw.columns == raw.columns and _rows(st.raw) == _rows(raw)
+    seen = _rows(raw.select(S.UNIQUE_ID, F.coalesce(S.REMARKS, F.lit("Unknown"))).distinct())
+    assert _rows(st.clean.select(S.UNIQUE_ID, S.REMARKS).distinct()) == seen
+    long_texts = sum(t.where(F.length(c) >= 5000).count() for t in written for c, kind in t.dtypes if kind == "string")
+    assert long_texts == 1
+    assert P.numbered(st.raw) is st.loaded and P.numbered(raw) is raw

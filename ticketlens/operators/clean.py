@@ -22,6 +22,7 @@ from ticketlens.operators.numbering import number_rows, row_tie_break
 from ticketlens.operators.order_stats import exact_medians, exact_quantiles, modes
 from ticketlens.operators.quality import row_digest
 from ticketlens.session import materialize, release
+from ticketlens.sources.tickets import join_texts
 
 #: unambiguous patterns; day-first and month-first texts need ``formats``
 DEFAULT_TS_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
@@ -119,11 +120,18 @@ def set_aside(df: DataFrame, row: str) -> DataFrame:
     return df.select(*[F.col(S.quoted(c)) for c in df.columns if c not in (row, S.REMARKS)], held.alias(S.HELD))
 
 
-def with_remarks(df: DataFrame, loaded: DataFrame, row: str, lower: bool = False) -> DataFrame:
-    """``df`` with the cleaned remarks (``lower``: normalised) in their place among the columns of ``loaded``."""
+def with_remarks(df: DataFrame, loaded: DataFrame, row: str, lower: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """``df`` with the cleaned remarks (``lower``: normalised) in their place among the columns of ``loaded``.
+
+    ``texts`` is the table of remarks that the rows' numbers point into (``sources.tickets.join_texts``).
+    """
     text = F.coalesce(F.col("_text"), F.lit("Unknown"))
-    texts = loaded.select(F.col(row).alias("_at"), F.col(S.REMARKS).alias("_text"))
-    out = df.join(texts, F.col(f"{S.HELD}.row") == F.col("_at")).withColumn(S.REMARKS, lower_text(text) if lower else text)
+    if texts is not None:
+        out = join_texts(df, f"{S.HELD}.row", texts)
+    else:
+        found = loaded.select(F.col(row).alias("_at"), F.col(S.REMARKS).alias("_text"))
+        out = df.join(found, F.col(f"{S.HELD}.row") == F.col("_at"))
+    out = out.withColumn(S.REMARKS, lower_text(text) if lower else text)
     first = [c for c in loaded.columns if c != row]
     return out.select(*[F.col(S.quoted(c)) for c in first], *[F.col(S.quoted(c)) for c in df.columns if c not in (*first, S.HELD)])
 

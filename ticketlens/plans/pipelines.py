@@ -6,10 +6,10 @@ the quantile jobs and every later stage) and the featured table (read by every
 report and model stage), so no report replays the remark join, the
 de-duplication shuffle or the label-encoding joins.
 
-The remarks, nearly all bytes of a ticket, are written once with the loaded table and
-set aside: both intermediates are without them, and the three frames that
-return them (``clean``, ``preprocessed``, ``featured``) join them by row number
-when they are read.
+The remarks, nearly all bytes of a ticket, are set aside: no table that is written holds
+one per ticket.  Those of the derived tickets are kept in a table of texts, each once,
+and the frames that return them (``raw``, ``clean``, ``preprocessed``, ``featured``) join
+them by their place there when they are read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ticketlens.operators.clean import clean_data, preprocess_data, with_remarks
 from ticketlens.plans.features import FeatureInfo, engineer_features
 from ticketlens.session import materialize, release
 from ticketlens.sources.io import nan_to_null
-from ticketlens.sources.tickets import tickets
+from ticketlens.sources.tickets import TICKET_COLUMNS, join_texts, numbered_texts, numbered_tickets, read_table
 
 
 @dataclass
@@ -69,8 +69,9 @@ def _forget(key: tuple) -> None:
     release(*st.tables)
 
 
-def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=None, row: str | None = None) -> DelayStages:
-    """``row`` numbers the rows of a written table, whose remarks are then set aside."""
+def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=None, row: str | None = None,
+                      texts: DataFrame | None = None) -> DelayStages:
+    """``row`` numbers the rows of a written table, whose remarks are then set aside; ``texts`` holds them where the numbers name a place there."""
     raw = nan_to_null(raw)
     clean, stats = clean_data(raw, formats=formats, row=row)
     pre = preprocess_data(clean)
@@ -79,8 +80,8 @@ def delay_stages_from(raw: DataFrame, threshold_hours: float = 24.0, formats=Non
     featured = materialize(featured)
     if row is None:
         return DelayStages(raw, clean, stats, pre, featured, info, clean, featured.drop(S.REMARKS), tables=[clean, featured])
-    return DelayStages(raw.drop(row), with_remarks(clean, raw, row), stats, with_remarks(pre, raw, row, lower=True),
-                       with_remarks(featured, raw, row, lower=True), info, clean, featured.drop(S.HELD), raw, [clean, featured])
+    return DelayStages(raw.drop(row), with_remarks(clean, raw, row, texts=texts), stats, with_remarks(pre, raw, row, lower=True, texts=texts),
+                       with_remarks(featured, raw, row, lower=True, texts=texts), info, clean, featured.drop(S.HELD), raw, [clean, featured])
 
 
 def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
@@ -89,12 +90,14 @@ def delay_stages(spark: SparkSession, sf_dir: str) -> DelayStages:
     if key not in _CACHE:
         while len(_CACHE) >= CACHE_SIZE:
             _forget(next(iter(_CACHE)))
-        # the loaded table is written once (as the reference loads its CSV once):
+        # the loaded table is written once (as the reference loads its CSV once), its texts apart:
         # profiling, de-duplication and the raw-row queries all read it
-        loaded = materialize(tickets(spark, sf_dir).withColumn(S.ROW, F.monotonically_increasing_id().alias(S.ROW, metadata={"numbers": True})), "tickets")
-        st = delay_stages_from(loaded, row=S.ROW)
+        texts = materialize(numbered_texts(read_table(spark, sf_dir, "documents")), "texts")
+        rows = materialize(numbered_tickets(read_table(spark, sf_dir, "events"), texts, S.ROW, {"numbers": True}), "tickets")
+        loaded = join_texts(rows, S.ROW, texts).select(*[F.col("_text").alias(c) if c == S.REMARKS else c for c in TICKET_COLUMNS], S.ROW)
+        st = delay_stages_from(loaded, row=S.ROW, texts=texts)
         st.raw, st.loaded = loaded.drop(S.ROW), loaded
-        st.tables.append(loaded)
+        st.tables += [rows, texts]
         _CACHE[key] = st
     return _CACHE[key]
 

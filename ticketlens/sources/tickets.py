@@ -26,6 +26,9 @@ AGENT_SHIFTS = ["Morning", "Evening", "Afternoon", "Night", "Split"]
 RARE_SHIFT = "Graveyard"          # given to event_id 100..104 only (5 rows < 10)
 RARE_SHIFT_IDS = (100, 104)
 NULL_KEY_SALTS = 1024
+TICKET_COLUMNS = ["unique_id", "channel_name", "category", "sub_category", "customer_remarks", "order_id", "order_date_time", "issue_reported_at",
+                  "issue_responded", "survey_response_date", "customer_city", "product_category", "item_price", "connected_handling_time",
+                  "tenure_bucket", "agent_shift", "csat_score"]
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -98,6 +101,31 @@ def build_tickets(events: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.drop("_copy")
 
 
+def numbered_texts(documents: DataFrame) -> DataFrame:
+    """The documents' ids and texts with a number, ``_place``, of their own; to be written before it is used."""
+    return documents.select("doc_id", "text", F.monotonically_increasing_id().alias("_place"))
+
+
+def numbered_tickets(events: DataFrame, texts: DataFrame, row: str, metadata: dict | None = None) -> DataFrame:
+    """The tickets with the place of their remark instead of the remark itself: ``row`` is (number of the row, place).
+
+    ``texts`` is the written ``numbered_texts``.  Every text is then stored once, whatever
+    number of tickets show it; ``join_texts`` brings the texts to the rows that are read.
+    """
+    rows = build_tickets(events, texts.select("doc_id", F.col("_place").alias("text")))
+    number = F.struct(F.monotonically_increasing_id().alias("n"), F.col("customer_remarks").alias("text"))
+    return rows.withColumn(row, number.alias(row, metadata=metadata or {})).drop("customer_remarks")
+
+
+def join_texts(df: DataFrame, row: str, texts: DataFrame) -> DataFrame:
+    """``df`` with ``_text``, the text at the place that ``row`` names; rows without a place are dealt out by their number."""
+    place = F.col(f"{row}.text")
+    salted = df.withColumn("_salt", F.when(place.isNull(), F.pmod(F.col(f"{row}.n"), F.lit(NULL_KEY_SALTS))).otherwise(F.lit(0)))
+    # the least of two is 0 too, but no constant that the optimiser takes out of the key
+    right = texts.select("_place", F.least(F.col("_place"), F.lit(0)).alias("_none"), F.col("text").alias("_text"))
+    return salted.join(right, (place == F.col("_place")) & (F.col("_salt") == F.col("_none")), "left").drop("_salt", "_place", "_none")
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_tickets(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "documents"))
 
