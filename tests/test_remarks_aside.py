@@ -63,7 +63,7 @@ def test_texts_are_written_once_and_rows_are_as_joined(spark, tmp_path, monkeypa
     st = P.delay_stages(spark, str(tmp_path))
     raw = tickets(spark, str(tmp_path))
     assert st.raw.columns == raw.columns and _rows(st.raw) == _rows(raw)
-    seen = _rows(raw.select(S.UNIQUE_ID, F.coalesce(S.REMARKS, F.lit("Unknown"))).distinct())
+    seen = _rows(raw.select(S.UNIQUE_ID, F.coalesce(S.REMARKS, F.lit("Unknown")).alias(S.REMARKS)).distinct())
     assert _rows(st.clean.select(S.UNIQUE_ID, S.REMARKS).distinct()) == seen
     long_texts = sum(t.where(F.length(c) >= 5000).count() for t in written for c, kind in t.dtypes if kind == "string")
     assert long_texts == 1
